@@ -105,8 +105,12 @@ def unescape_cell(c: _C) -> Column:
 
 def shingles(c: _C, n: int = 4) -> Column:
     """Distinct runs of n space-separated words."""
-    words = F.split(_col(c), " ")
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    # the words are bound once as a lambda's variable; named outside, they would be split anew for each run
+    def runs(w: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(F.split(_col(c), " ")), runs)[0]
 
 
 def canonical(c: _C) -> Column:

@@ -20,8 +20,6 @@ TARGET, CAP = 100, 150
 GROUP, GROUPED_ABOVE = 50, 100
 ESTIMATE = "approximate (quarter of the UTF-8 bytes)"
 
-_toc_size = F.size("chunks")
-
 
 def _lit(x: str) -> Column:
     return F.lit(x)

@@ -1,0 +1 @@
+"""Plans over whole corpora: benchmark, site index, usage figures."""
