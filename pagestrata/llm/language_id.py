@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import textkit as K
 
 ORDERS = (3, 4)
-BITS = 16
+BITS = 18
 SCHEMA = "doc_id long, lang string, confidence double, accepted boolean"
 
 _LETTER = np.full(256, 32, np.uint8)
@@ -30,10 +30,11 @@ for _c in [*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]:
 
 class Model(NamedTuple):
     langs: list[str]
-    table: np.ndarray  # languages x (buckets + 1); the last bucket is for no gram
+    table: np.ndarray  # languages and one row more, which buckets are known, x (buckets + 1); the last bucket is for no gram
     bias: np.ndarray
     temperature: float
     threshold: float
+    familiar: float  # least share of a text's subwords that were met in training
 
 
 def grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -58,16 +59,17 @@ def grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     return out, offsets[:-1]
 
 
-def logits(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Scores by language, and the number of subwords of each text."""
+def logits(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores by language, the number of subwords of each text, and the share of them that training has met."""
     found, first = grams(texts)
-    total = np.zeros((len(first), len(model.langs)))
+    total = np.zeros((len(first), len(model.langs) + 1))
     n = np.zeros(len(first), np.int64)
     for idx in found:
         n += np.add.reduceat((idx < (1 << BITS)).astype(np.int64), first)
-        for k in range(len(model.langs)):
+        for k in range(len(model.table)):
             total[:, k] += np.add.reduceat(model.table[k][idx], first)
-    return total / np.maximum(n, 1)[:, None] + model.bias, n
+    mean = total / np.maximum(n, 1)[:, None]
+    return mean[:, :-1] + model.bias, n, mean[:, -1]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -78,8 +80,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], labels: list[str], dim: int = 12, epochs: int = 3, rate: float = 2.0, batch: int = 16, holdout: float = 0.2, max_error: float = 0.005, seed: int = 7) -> Model | None:
     """Trains on whole texts; None without labelled texts.
 
-    Rejection: softmax temperature and then the lowest threshold of at least 0.5
-    whose accepted held-out texts have an error of at most ``max_error``.
+    Rejection, calibrated on held-out texts: the softmax temperature of least loss,
+    then the lowest threshold of at least 0.5 at which the accepted ones have an error
+    of at most ``max_error``; and three quarters of the share of known subwords that
+    all but ``max_error`` of them reach.
     """
     langs = sorted(set(labels))
     if not langs:
@@ -119,28 +123,31 @@ def fit(texts: list[str], labels: list[str], dim: int = 12, epochs: int = 3, rat
             bias -= lr * g.mean(0)
             # each text moves its own grams; scaled up, as a text's weight is spread over many grams
             np.subtract.at(E, idx, (lr * 20.0) * w[:, None] * np.repeat(back, size, 0))
-    table = np.ascontiguousarray((E @ W).T).astype(np.float32)
-    table[:, -1] = 0
-    model = Model(langs, table, bias.astype(np.float64), 1.0, 0.5)
+    table = np.zeros((len(langs) + 1, len(E)), np.float32)
+    known = np.unique(np.concatenate([np.zeros(0, np.int64), *(idx_of[r] for r in train)]))
+    table[:-1, known] = (E[known] @ W).T
+    table[-1, known] = 1
+    model = Model(langs, table, bias.astype(np.float64), 1.0, 0.5, 0.5)
     if not len(held):
         return model
-    z, _ = logits(model, pa.array([texts[i] for i in held]))
+    z, n, met = logits(model, pa.array([texts[i] for i in held]))
     temperature = min((0.1 * 1.25**i for i in range(24)), key=lambda t: -np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean())
     p = softmax(z / temperature)
     best, wrong = p.max(1), p.argmax(1) != y[held]
     threshold = next((t for t in np.arange(0.5, 0.96, 0.01) if wrong[best >= t].sum() <= max_error * max(1, (best >= t).sum())), 0.95)
-    return model._replace(temperature=float(temperature), threshold=float(threshold))
+    familiar = 0.75 * float(np.quantile(met[n > 0], max_error)) if (n > 0).any() else 0.5
+    return model._replace(temperature=float(temperature), threshold=float(threshold), familiar=familiar)
 
 
 def predict(model: Model | None, texts: pa.Array) -> tuple[list[str | None], np.ndarray, np.ndarray]:
     """Language, confidence and acceptance of each text; no language for a text without subwords."""
     if model is None or len(texts) == 0:
         return [None] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-    z, n = logits(model, texts)
+    z, n, met = logits(model, texts)
     p = softmax(z / model.temperature)
     best = np.where(n > 0, p.max(1), 0.0)
     names = [model.langs[k] if m else None for k, m in zip(p.argmax(1), n)]
-    return names, np.round(best, 6), (n > 0) & (best >= model.threshold)
+    return names, np.round(best, 6), (n > 0) & (best >= model.threshold) & (met >= model.familiar)
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> tuple[list[str], list[str]]:

@@ -160,8 +160,11 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars",
     masked = F.arrow_udf(lambda t: pa.array([mask(x, least) for x in t.to_pylist()], pa.string()), "string").asNondeterministic()
     text = F.col(text_col).cast("string")
     hit = F.coalesce(text.rlike(CONTEXT), F.lit(False))
-    out = docs.withColumn("__hit", masked(F.when(hit, text))).withColumn(text_col, F.coalesce("__hit", text))
+    new = "masked"
+    while new in docs.columns:
+        new += "_"
+    out = docs.withColumn(new, masked(F.when(hit, text))).withColumn(text_col, F.coalesce(new, text))
     if chars_col in docs.columns:
         kind = docs.schema[chars_col].dataType
-        out = out.withColumn(chars_col, F.when(F.col("__hit").isNotNull(), F.length(text_col).cast(kind)).otherwise(F.col(chars_col)))
+        out = out.withColumn(chars_col, F.when(F.col(new).isNotNull(), F.length(text_col).cast(kind)).otherwise(F.col(chars_col)))
     return out.select(*docs.columns)

@@ -1,0 +1,465 @@
+"""Each operator against brute force, and on awkward input: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import base64
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import regex
+
+from pagestrata.llm import bpe, components, decontaminate, language_id, licenses, ngram_join, quality_rules, repeats, secrets, textkit, token_counts, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+W = re.compile("[0-9a-z\x80-\U0010ffff]+")
+rnd = random.Random(5)
+
+
+def words(t):
+    return W.findall((t or "").lower())
+
+
+def text(n, vocabulary=400, seed=None):
+    r = random.Random(seed) if seed is not None else rnd
+    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
+
+
+BASE = text(120, 5000, 1)
+NEAR = " ".join("changed" if i in (20, 70) else w for i, w in enumerate(BASE.split()))
+AWKWARD = [
+    (1, BASE, "en", "a", 1),
+    (2, BASE, "en", "a", 1),
+    (2, BASE, "en", "a", 1),
+    (3, NEAR, "en", None, None),
+    (4, None, None, None, None),
+    (5, "", "en", "a", 0),
+    (6, " \n\t ", "en", "a", 4),
+    (7, "!!! ???", "en", "a", 7),
+    (8, "one two", "en", "a", 7),
+    (9, "ONE two", "fr", "a", 7),
+    (None, BASE, "en", "a", 1),
+    (10, text(60_000, 50_000, 2), "en", "a", 9),
+    (11, "x" * 200_000, "en", "a", 9),
+    (12, text(80, 5000, 3), "en", "a", 9),
+    (13, "漢字 ünïcode 😀 " * 40, "en", "a", 9),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame(AWKWARD, DOCS)
+    # names that the operators use themselves
+    return d.withColumns({c: F.lit(9) for c in ("set_id", "keys", "comp", "key", "u", "v", "masked", "tokens", "route", "step", "confidence", "y")})
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# -- primitives
+
+
+def test_words_and_windows():
+    texts = [t for _, t, *_ in AWKWARD[:10]] + ["a", "Ünï-x 1"]
+    w = textkit.words(pa.array(texts, pa.string()))
+    assert [int(x) for x in np.bincount(w.doc, minlength=len(texts))] == [len(words(t)) for t in texts]
+    flat = [x for t in texts for x in words(t)]
+    assert len({h: 1 for h in w.hash.tolist()}) == len(set(flat))
+    for n in (1, 2, 3, 7, 50):
+        h = textkit.window_hash(w.hash, n)
+        grams = [tuple(flat[i : i + n]) for i in range(len(flat) - n + 1)]
+        assert len(h) == len(grams) and len(set(h.tolist())) == len(set(grams))
+    assert textkit.word_hash("clown") == int(textkit.words(pa.array(["a CLOWN b"])).hash[1])
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (5, 5), (7, 8), (8, 7), (20, 10), (30, 20), (10, 3)]
+    got = {r.node: r.comp for r in components.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 20: 1, 30: 1, 7: 7, 8: 7}
+    chain = [(i, i + 1) for i in range(60)]
+    got = {r.node: r.comp for r in components.connected(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(61)}
+    assert components.connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# -- 1
+
+
+def test_language_id_held_out(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    train, test = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    model = language_id.train(train)
+    got = language_id.identify(test, model).withColumnRenamed("lang", "said").join(test, "doc_id").toPandas()
+    assert (got.said == got.lang)[got.accepted].mean() > 0.97 and got.accepted.mean() > 0.97
+
+
+def test_language_id_rejects_and_edges(spark, docs, nothing):
+    en, fr = ["the cat and the dog are here with them"] * 20, ["le chat et les chiens sont ici avec eux"] * 20
+    model = language_id.fit(en + fr, ["en"] * 20 + ["fr"] * 20)
+    names, p, ok = language_id.predict(model, pa.array(["the dog and the cat", "les chiens et le chat", "漢字かな交じり文", None, "", "123 !!"]))
+    assert names[:2] == ["en", "fr"] and ok[:2].all() and not ok[2:].any() and names[3:] == [None] * 3
+    out = language_id.identify(docs, model).collect()
+    assert len(out) == len(AWKWARD) and out == language_id.identify(docs, model).collect()
+    assert language_id.keep_identified(docs, model).columns == docs.columns
+    assert language_id.train(nothing) is None
+    assert language_id.identify(docs, None).where("accepted").count() == 0
+    assert language_id.identify(nothing, model).count() == 0 and language_id.keep_identified(nothing, model).count() == 0
+
+
+# -- 2
+
+
+def brute_pairs(rows, t=ngram_join.THRESHOLD, n=ngram_join.N):
+    sets = []
+    for i, x, *_ in sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1]}):
+        w = words(x)
+        if w:
+            sets.append((i, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or {tuple(w)}))
+    return {(a, b): round(len(s & z) / len(s | z), 6) for k, (a, s) in enumerate(sets) for b, z in sets[k + 1 :] if len(s & z) / len(s | z) >= t and a != b}
+
+
+def test_trie_join_is_exact():
+    r = np.random.default_rng(3)
+    for _ in range(150):
+        pool = r.choice(60, 30, replace=False)
+        sets = [np.unique(np.concatenate([r.choice(pool, r.integers(1, 25), replace=False), r.choice(60, r.integers(0, 4))])).astype(np.uint64) for _ in range(r.integers(2, 12))]
+        sets.append(sets[0].copy())
+        t = r.choice([0.3, 0.55, 0.8])
+        want = {(i, j): len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= t - 1e-12}
+        assert {(int(a), int(b)): int(o) for a, b, o in zip(*ngram_join.trie_join(sets, t))} == want
+
+
+def edited(t, share, seed):
+    r = random.Random(seed)
+    return " ".join(f"new{r.randrange(10**9)}" if r.random() < share else w for w in t.split())
+
+
+def test_ngram_join_against_brute_force(spark):
+    rows = [(i, text(r, 3000, i)) for i, r in enumerate([3, 5, 9, 14, 40, 150, 400, 2000])]
+    rows += [(100 * (k + 1) + i, edited(t, share, 7 * k + i)) for i, t in rows for k, share in enumerate([0.0, 0.02, 0.04, 0.06, 0.08])]
+    rows += [(1000 + i, "hot passage of some words " + text(20, 3000, 500 + i)) for i in range(60)]
+    want = brute_pairs(rows)
+    got = {(r.left_id, r.right_id): r.jaccard for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(want[p] == s for p, s in got.items())
+    assert len(got) >= 0.95 * len(want) and all(p in got for p, s in want.items() if s >= 0.7)
+
+
+def test_ngram_join_edges(spark, docs, nothing):
+    got = {(r.left_id, r.right_id): r.jaccard for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert got == brute_pairs(AWKWARD) and (1, 2) in got and (8, 9) in got
+    assert ngram_join.ngram_jaccard_join(nothing).count() == 0
+    kept = ngram_join.keep_one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 10, 11, 12, 13]
+    assert ngram_join.keep_one_of_each_group(nothing).count() == 0
+
+
+# -- 3
+
+
+def brute_matches(rows, items, least):
+    out = {}
+    for d, t, *_ in rows:
+        for i, b in items:
+            x, y, best = words(t), words(b), None
+            for q in range(len(y)):
+                for p in range(len(x)):
+                    n = 0
+                    while p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
+                        n += 1
+                    if n >= least and (best is None or (-n, q, p) < best):
+                        best = (-n, q, p)
+            if best:
+                out[(d, i)] = (-best[0], best[2], best[1])
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    items = [(1, text(30, 40, 1)), (2, text(14, 40, 2)), (3, text(9, 3, 3)), (4, "too short"), (5, None), (6, "a " * 12)]
+    rows = []
+    for i in range(60):
+        r = random.Random(i)
+        t = text(r.randrange(0, 120), r.choice([4, 40]), 100 + i).split()
+        w = items[i % 3][1].split()
+        a = r.randrange(len(w))
+        at = r.randrange(len(t) + 1)
+        rows.append((i, " ".join([*t[:at], *w[a : a + r.randrange(4, 30)], *t[at:]])))
+    rows += [(60, "A a, a-a a a a a a a"), (61, None), (62, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for least in (3, 4, 6, 8):
+        got = {(r.doc_id, r.item_id): (r.match_words, r.doc_word, r.item_word) for r in decontaminate.contamination(docs, bench, min_words=least).collect()}
+        assert got == brute_matches(rows, [i for i in items if i[1]], least)
+    kept = {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert kept == {d for d, *_ in rows} - {d for d, _ in brute_matches(rows, [i for i in items if i[1]], 8)}
+
+
+def test_decontamination_edges(spark, docs, nothing, monkeypatch):
+    bench = spark.createDataFrame([(7, " ".join(BASE.split()[30:50])), (None, BASE), (8, None), (9, text(20, 9, 9))], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.match_words) for r in decontaminate.contamination(docs, bench).collect())
+    assert got == [(0, 7, 20), (1, 7, 20), (2, 7, 20), (2, 7, 20), (3, 7, 20)]
+    monkeypatch.setattr(decontaminate, "SLICE_CHARS", 50)
+    assert sorted((r.doc_id or 0, r.item_id, r.match_words) for r in decontaminate.contamination(docs, bench).collect()) == got
+    assert decontaminate.decontaminate(docs, bench).count() == len(AWKWARD) - 5
+    none = bench.where("false")
+    assert decontaminate.contamination(docs, none).count() == 0 and decontaminate.decontaminate(docs, none).count() == len(AWKWARD)
+    assert decontaminate.contamination(nothing, bench).count() == 0
+
+
+# -- 4 and 7
+
+
+@pytest.fixture(scope="module")
+def vocab():
+    return bpe.load()
+
+
+@pytest.fixture(scope="module")
+def reference_encoding():
+    tiktoken = pytest.importorskip("tiktoken")
+    with open(bpe.VOCAB, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+ALPHABET = "ab '\n\tsStéß漢😀0123.,!   re \x1c_²"
+
+
+def test_bpe_equals_another_encoder(vocab, reference_encoding):
+    e = bpe.Encoder(vocab)
+    for _ in range(1500):
+        s = "".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 40)))
+        tokens, n = e.encode([s, "", s])
+        assert tokens.tolist() == reference_encoding.encode_ordinary(s) * 2 and n[1] == 0
+        assert bpe.decode(vocab, tokens[: n[0]]).decode() == s
+    slow = regex.compile(bpe.PATTERN)
+    assert all(e.find(s) == slow.findall(s) for s in ("a" * 999, "'sx 'll", "  \n\n x", "aé 12 ½", "\x85\x1f"))
+
+
+def test_bpe_operator(spark, docs, nothing, vocab, reference_encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 100)
+    out = bpe.encode(docs, vocab)
+    rows = {r.doc_id: r for r in out.collect()}
+    assert all(r.round_trip for r in rows.values()) and out.count() == len(AWKWARD)
+    for i, t, *_ in AWKWARD:
+        if i != 11:
+            assert rows[i].tokens == reference_encoding.encode_ordinary(t or "") and rows[i].n_tokens == len(rows[i].tokens)
+    back = {r.doc_id: r.text for r in bpe.decode_column(out, vocab).collect()}
+    assert all(back[i] == (t or "") for i, t, *_ in AWKWARD)
+    assert bpe.encode(nothing, vocab).count() == 0
+
+
+def test_edited_trees_equal_counting_anew(vocab, reference_encoding):
+    e, scan = bpe.Encoder(vocab), regex.compile(bpe.PATTERN).finditer
+    for _ in range(1500):
+        s = "".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 60)))
+        idx, _, cut = e.words([s])
+        tree = token_counts.CountedText(s, cut[0], e.size[idx], e, scan)
+        for _ in range(rnd.randint(1, 6)):
+            a = rnd.randint(0, len(tree.text))
+            tree.apply(a, min(len(tree.text), a + rnd.randint(0, 6)), "".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 5))))
+            assert tree.total == len(reference_encoding.encode_ordinary(tree.text)) and tree.lengths.total == len(tree.text)
+
+
+def test_edits_touch_little(vocab):
+    e, scan = bpe.Encoder(vocab), regex.compile(bpe.PATTERN).finditer
+    s = text(20_000, 900, 4)
+    idx, _, cut = e.words([s])
+    tree = token_counts.CountedText(s, cut[0], e.size[idx], e, scan)
+    tree.apply(50_000, 50_003, "zzz")
+    assert 0 < tree.reencoded < 10
+
+
+def test_token_counts_operator(spark, docs, nothing, vocab, reference_encoding):
+    mail = "Write to a.b@mail.example.com or +1 (017) 555-7713, from 10.0.0.1; card 1234567812345678."
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(50, mail)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in token_counts.recount(more, vocab).collect()}
+    masked = "Write to [EMAIL] or [PHONE], from [IP]; card [NUMBER]."
+    assert got[50].edits == 4 and got[50].tokens_after == len(reference_encoding.encode_ordinary(masked)) and got[50].tokens_before == len(reference_encoding.encode_ordinary(mail))
+    assert got[4].tokens_before == got[5].tokens_before == 0 and got[1].edits == 0 and got[1].tokens_after == got[1].tokens_before
+    grow = {r.doc_id: r.tokens_after for r in token_counts.recount(docs, vocab, lambda t: [(0, 0, "new ")]).collect()}
+    assert grow[4] == len(reference_encoding.encode_ordinary("new ")) and grow[8] == len(reference_encoding.encode_ordinary("new one two"))
+    assert token_counts.recount(nothing, vocab).count() == 0
+
+
+# -- 5
+
+
+def test_quality_rules(spark, docs, nothing):
+    rows = [
+        (1, "A fine line.\nHome | News | Sport | Contact\nAnother fine line of text.\n\nWe use a Cookie Policy."),
+        (2, "x*** y### z$$$\nok"),
+        (3, "Home | a | b | c\nshort"),
+        (4, None),
+        (5, "\n \n"),
+        (6, "!!!"),
+    ]
+    got = {r.doc_id: r for r in quality_rules.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].kept is False and got[1].clean_text is None and (got[1].lines, got[1].navigation, got[1].boilerplate) == (4, 1, 1) or got[1].clean_text == "A fine line.\nAnother fine line of text."
+    assert got[2].punctuation == 1 and not got[2].kept and not got[3].kept and not got[4].kept and not got[5].kept and not got[6].kept
+    assert got[4].lines == 0 and got[6].punctuation == 1
+    out = quality_rules.clean_lines(docs)
+    assert out.count() == len(AWKWARD) and {r.doc_id for r in out.where("kept").collect()} == {1, 2, 3, 8, 9, None, 10, 11, 12, 13}
+    assert quality_rules.clean_lines(nothing).count() == 0
+
+
+# -- 6
+
+
+def brute_spans(rows, n):
+    from collections import Counter
+
+    docs = [(i, words(t)) for i, t, *_ in rows if i is not None and t]
+    count = Counter(tuple(w[k : k + n]) for _, w in docs for k in range(len(w) - n + 1))
+    out = []
+    for i, w in docs:
+        hit = [count[tuple(w[k : k + n])] for k in range(len(w) - n + 1)] + [0]
+        at = 0
+        for k, c in enumerate(hit):
+            if c < 2:
+                if k > at:
+                    out.append((i, at, k - at + n - 1, max(hit[at:k])))
+                at = k + 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n", [2, 5, 50])
+def test_repeated_passages_against_brute_force(spark, n):
+    passage = text(70, 3000, 77)
+    rows = [(i, f"{text(i * 3, 3000, i)} {passage if i % 4 == 0 else ''} {text(30, 6, i)}") for i in range(40)]
+    rows += [(90, passage), (91, passage + " " + passage), (92, " ".join(passage.split()[:50])), (93, " ".join(passage.split()[:49])), (94, None), (95, "")]
+    got = sorted(map(tuple, repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window=n).collect()))
+    assert got == brute_spans(rows, n)
+
+
+def test_repeated_passages_edges(docs, nothing):
+    assert sorted(map(tuple, repeats.repeated_passages(docs).collect())) == brute_spans(AWKWARD, 50)
+    assert repeats.repeated_passages(nothing).count() == 0
+    assert (repeats.unplanes(repeats.planes(np.array([0, 1, 70_000]))) == [0, 1, 70_000]).all()
+
+
+# -- 8
+
+
+def brute_guesses(s):
+    from functools import lru_cache
+    from math import inf, log10
+
+    spans = {}
+    for i, j, c in secrets._spans(s):
+        spans[(i, j)] = min(c, spans.get((i, j), inf))
+    per, seg = log10(secrets._alphabet(s)), log10(2)
+
+    @lru_cache(None)
+    def best(at, after_brute):
+        if at == len(s):
+            return 0.0
+        out = inf
+        for j in range(at + 1, len(s) + 1):
+            if not after_brute:
+                out = min(out, seg + per * (j - at) + best(j, True))
+            if (at, j) in spans:
+                out = min(out, seg + spans[(at, j)] + best(j, False))
+        return out
+
+    return round(best(0, False), 6)
+
+
+def test_guess_cost_is_the_least_over_all_segmentations():
+    cases = ["password", "Passw0rd2024", "qwerty12345", "aaaa", "abcabcabc", "x7!Kq9", "admin1999-12-31", "changeme", "zzz", "a", "P@55w0rd"]
+    cases += ["".join(rnd.choice("ab1qw2") for _ in range(rnd.randint(1, 9))) for _ in range(60)]
+    for s in cases:
+        assert secrets.guesses(s) == pytest.approx(brute_guesses(s), abs=1e-5), s
+    assert secrets.guesses("") == 0 and secrets.guesses("0b96a8c8d79c4a5085c919698889f59b72ab7bb6") > 30 > 6 > secrets.guesses("password123")
+
+
+def test_secret_scan(spark, docs, nothing):
+    key = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+    rows = [(1, f'x token = "{key}" y password: changeme z'), (2, f"API_KEY={key}\nother = {key}"), (3, "the token of gratitude is a token"), (4, None), (5, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) as n_chars", "1 as masked", "2 as key")
+    got = sorted((r.doc_id, r.ord, r.key, r.secret, r.n_chars) for r in secrets.scan(d).collect())
+    assert got == [(1, 0, "token", True, 40), (1, 1, "password", False, 8), (2, 0, "api_key", True, 40)]
+    clean = {r.doc_id: r for r in secrets.redact(d).collect()}
+    assert clean[1].text == 'x token = "[SECRET]" y password: changeme z' and clean[1].n_chars == len(clean[1].text)
+    assert clean[2].text == f"API_KEY=[SECRET]\nother = {key}" and clean[3].text == rows[2][1] and clean[4].text is None and clean[5].text == ""
+    assert secrets.redact(d).columns == d.columns
+    assert secrets.scan(docs).count() == 0 and secrets.scan(nothing).count() == 0 and secrets.redact(nothing).count() == 0
+    assert sorted(map(str, secrets.redact(docs).collect())) == sorted(map(str, docs.collect()))
+
+
+# -- 9
+
+
+def test_licence_expressions():
+    e = licenses.evaluate
+    assert e("MIT") == (["MIT"], "permissive")
+    assert e("MIT OR GPL-2.0-only AND Apache-2.0") == (["MIT", "GPL-2.0", "Apache-2.0"], "permissive")
+    assert e("(MIT OR GPL-2.0+) AND GPL-3.0-or-later") == (["MIT", "GPL-2.0", "GPL-3.0"], "strong-copyleft")
+    assert e("GPL-2.0 with Classpath-exception-2.0")[1] == "weak-copyleft" and e("Foo-1.0")[1] == "unknown"
+    assert all(e(x) == ([], "unknown") for x in ("MIT OR", "(MIT", "MIT)", "MIT Apache-2.0", "AND MIT", ""))
+    assert licenses.postfix("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
+
+
+def test_licence_scan_against_search(spark, docs, nothing):
+    rows = [
+        (1, "Released under the MIT License.\nreleased under the mit license"),
+        (2, "# SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause */ code"),
+        (3, "the summit license and mit licensees"),
+        (4, "GNU Lesser General Public License, version 3 and GNU General Public License, version 3."),
+        (5, None),
+        (6, "SPDX-License-Identifier:"),
+    ]
+    got = sorted((r.doc_id, r.source, r.expression, r.category, r.occurrences) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [
+        (1, "notice", "MIT", "permissive", 2),
+        (2, "tag", "(MIT OR Apache-2.0) AND BSD-3-Clause", "permissive", 1),
+        (4, "notice", "GPL-3.0", "strong-copyleft", 1),
+        (4, "notice", "LGPL-3.0", "weak-copyleft", 1),
+    ]
+    a = licenses.automaton()
+    for _ in range(50):
+        t = " ".join(rnd.choice([*licenses.PHRASES, "word", "other"]) for _ in range(8)) + "."
+        want = {}
+        for p, name in licenses.PHRASES.items():
+            for m in re.finditer(rf"(?<![^\W_]){re.escape(p)}(?![^\W_])", t):
+                want[name] = want.get(name, 0) + 1
+        assert {f[1]: f[5] for f in licenses.findings(t, a)} == want
+    assert licenses.scan(docs).count() == 0 and licenses.scan(nothing).count() == 0
+
+
+# -- 10
+
+
+def test_toxicity_held_out(spark):
+    r = random.Random(8)
+    bad = "idiot moron worthless scum lowerthing lowerother".split()
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 7 == 0
+        w = text(r.randrange(20, 200), 2000, i).split()
+        if toxic:
+            for _ in range(r.randrange(1, 5)):
+                w.insert(r.randrange(len(w)), r.choice(bad))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    chain = toxicity.train(docs, lab.where("doc_id < 600"))
+    got = {r.doc_id for r in toxicity.detect(docs.where("doc_id >= 600"), chain).collect()}
+    assert got == {i for i, t in labels if t and i >= 600}
+    # each later model takes the words and every earlier probability
+    assert [len(w) if not isinstance(w, float) else 0 for w in chain.weights][-1] == 1 + len(chain.vocab) + len(toxicity.CATEGORIES) - 1
+
+
+def test_toxicity_edges(spark, docs, nothing):
+    lab = spark.createDataFrame([(1, 1), (None, 1), (12, None)], "doc_id long, toxic int")
+    assert toxicity.train(docs, lab) is None and toxicity.train(nothing, lab) is None and toxicity.train(docs, lab.where("false")) is None
+    out = toxicity.score(docs, None)
+    assert out.count() == len(AWKWARD) and out.where("toxic").count() == 0
+    one = toxicity.fit(np.array([0, 1]), np.array([3, 4], np.uint64), np.array([1.0, 0.0]))
+    assert toxicity.score(docs, one).count() == len(AWKWARD) and toxicity.score(nothing, one).count() == 0
+    nulls = toxicity.score(docs, one).where("doc_id in (4, 5, 6, 7)").collect()
+    assert all(not r.toxic and r.p_toxic == 0 for r in nulls)
