@@ -319,4 +319,4 @@ def benchmark_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to documents: header, size and Markdown of each."""
     d = render.with_header(pages_of(spark, sf_dir))
-    return d.select("page_id", "ok", "error", "title", "lang", "url", "hash", "header_units", F.size("chunks").alias("chunks"), render.markdown().alias("md"))
+    return d.select("page_id", "ok", "error", "title", "lang", "url", "hash", "header_units", F.size("chunks").alias("n_chunks"), render.markdown().alias("md"))

@@ -56,12 +56,26 @@ def documents_in(spark: SparkSession, root: str) -> DataFrame:
 
 def split_documents_in(spark: SparkSession, root: str) -> DataFrame:
     """(rel, md) put together from split folders (*.llm/): header, numbered sub-contents in numeric order, facts, chunks in the order of the contents."""
-    f = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).withColumn("rel", _relative(root))
-    f = f.where(F.col("rel").rlike(r"\.llm/[^/]+\.md$")).select(F.regexp_extract("rel", r"^(.*)\.llm/[^/]+$", 1).alias("rel"), F.regexp_extract("rel", r"([^/]+)\.md$", 1).alias("name"), F.regexp_replace("value", r"\n+\z", "").alias("text"))
+    # Spark's own readers pass over names that begin with an underscore, so the folders are listed here and read by the tasks
+    rows = [(os.path.relpath(d, root).removesuffix(".llm"), d) for d, _, _ in os.walk(root) if d.endswith(".llm")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rel, folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                names = sorted(n for n in os.listdir(folder) if n.endswith(".md"))
+                texts = []
+                for n in names:
+                    with open(os.path.join(folder, n), encoding="utf-8", newline="") as x:
+                        texts.append(x.read().rstrip("\n"))
+                yield pa.RecordBatch.from_arrays([pa.array([rel] * len(names), pa.string()), pa.array([n[:-3] for n in names], pa.string()), pa.array(texts, pa.string())], names=["rel", "name", "text"])
+
+    folders = spark.createDataFrame(rows, "rel string, folder string").repartition(max(1, min(len(rows), 1000)))
+    f = folders.mapInArrow(read, "rel string, name string, text string")
     toc = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("name").rlike("^_header$|^_toc-"), F.struct(F.coalesce(F.regexp_extract("name", r"^_toc-(\d+)$", 1).try_cast("int"), F.lit(0)).alias("n"), "text")))), lambda x: F.regexp_extract_all(x["text"], F.lit(r"(?m)^- ([^\s:]+)"), 1)))
     order = f.groupBy("rel").agg(toc.alias("ids"))
     sub = F.regexp_extract("name", r"^_toc-(\d+)$", 1).try_cast("int")
-    at = F.when(F.col("name") == "_header", F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))).when(sub.isNotNull(), F.struct(F.lit(1), sub)).when(F.col("name") == "facts", F.struct(F.lit(2), F.lit(0))).otherwise(F.struct(F.lit(3), F.array_position("ids", F.col("name")).cast("int")))
+    section = F.when(F.col("name") == "_header", 0).when(sub.isNotNull(), 1).when(F.col("name") == "facts", 2).otherwise(3)
+    at = F.struct(section.alias("section"), F.coalesce(sub, F.array_position("ids", F.col("name")).cast("int")).alias("n"))
     parts = f.join(order, "rel").select("rel", at.alias("at"), "name", "text")
     return parts.groupBy("rel").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name", "text"))), lambda x: x["text"]), "\n\n"), F.lit("\n")).alias("md"))
 
