@@ -131,7 +131,8 @@ class Encoder:
         self.flat = self.size = self.start = np.zeros(0, np.int64)
 
     def learn(self, words: set[str]) -> None:
-        new = sorted(words - self.known.keys()) if self.known else sorted(words)
+        known = self.known
+        new = sorted(w for w in words if w not in known)
         if not new:
             return
         flat, size = merge(self.vocab, new)

@@ -9,6 +9,7 @@ on old ones, re-encodes what lies between and updates the sums above it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +34,10 @@ def redactions(text: str) -> list[Edit]:
 
 
 class SumTree:
-    """Segment tree of sums over a fixed number of slots."""
-
-    def __init__(self, values: np.ndarray):
-        n = 1
-        while n < len(values):
-            n *= 2
-        self.n, self.t = n, np.zeros(2 * n, np.int64)
-        self.t[n : n + len(values)] = values
-        while n > 1:
-            self.t[n // 2 : n] = self.t[n : 2 * n : 2] + self.t[n + 1 : 2 * n : 2]
-            n //= 2
+    """Segment tree of sums over a fixed number of slots: node k holds the sum of nodes 2k and 2k+1, the slots are the nodes from n on."""
+
+    def __init__(self, nodes: np.ndarray):
+        self.n, self.t = len(nodes) // 2, nodes
 
     @property
     def total(self) -> int:
@@ -70,13 +64,39 @@ class SumTree:
             self.t[a : b + 1] = self.t[2 * a : 2 * b + 2 : 2] + self.t[2 * a + 1 : 2 * b + 2 : 2]
 
 
+def trees(values: np.ndarray, sizes: np.ndarray) -> list[SumTree]:
+    """Trees of successive runs of values, those of one depth built together."""
+    out: list[SumTree] = [SumTree(np.zeros(2, np.int64))] * len(sizes)
+    first = np.cumsum(sizes) - sizes
+    width = 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
+    for n in np.unique(width):
+        rows = np.flatnonzero(width == n)
+        nodes = np.zeros((len(rows), 2 * n), np.int64)
+        count = sizes[rows]
+        within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        nodes[np.repeat(np.arange(len(rows)), count), n + within] = values[np.repeat(first[rows], count) + within]
+        k = n
+        while k > 1:
+            nodes[:, k // 2 : k] = nodes[:, k : 2 * k : 2] + nodes[:, k + 1 : 2 * k : 2]
+            k //= 2
+        for r, x in zip(rows, nodes):
+            out[r] = SumTree(x)
+    return out
+
+
 class CountedText:
-    """A text with its trees; apply() keeps them right under edits."""
+    """A text with its trees of lengths and counts; apply() keeps them right under edits."""
 
-    def __init__(self, text: str, pretokens: list[str], counts: np.ndarray, encoder: bpe.Encoder, scan: Callable):
-        self.text, self.encoder, self.scan = text, encoder, scan
-        self.lengths, self.counts = SumTree(np.fromiter(map(len, pretokens), np.int64, len(pretokens))), SumTree(counts)
-        self.slots, self.reencoded = len(pretokens), 0
+    def __init__(self, text: str, slots: int, lengths: SumTree, counts: SumTree, encoder: bpe.Encoder, scan: Callable):
+        self.text, self.slots, self.lengths, self.counts = text, slots, lengths, counts
+        self.encoder, self.scan, self.reencoded = encoder, scan, 0
+
+    @classmethod
+    def of(cls, texts: list[str], encoder: bpe.Encoder, scan: Callable) -> list[CountedText]:
+        """The counted form of each text."""
+        idx, n, cut = encoder.words(texts)
+        lengths = trees(np.fromiter(map(len, chain.from_iterable(cut)), np.int64, len(idx)), n)
+        return [cls(t, int(k), a, b, encoder, scan) for t, k, a, b in zip(texts, n, lengths, trees(encoder.size[idx], n))]
 
     @property
     def total(self) -> int:
@@ -87,7 +107,7 @@ class CountedText:
         text = self.text = self.text[:start] + put + self.text[end:]
         if not self.slots:
             self.slots = 1
-            self.lengths, self.counts = SumTree(np.zeros(1, np.int64)), SumTree(np.zeros(1, np.int64))
+            self.lengths, self.counts = SumTree(np.zeros(2, np.int64)), SumTree(np.zeros(2, np.int64))
         shift = len(put) - (end - start)
         # a boundary stays if all that decided it lies before the edit; white space looks two characters beyond its end
         slot, at = self.lengths.find(max(0, start - 2))
@@ -123,17 +143,12 @@ def recount(docs: DataFrame, vocab: bpe.Vocab, edits: Callable[[str], list[Edit]
             kept.append(bpe.Encoder(vocab))
         encoder, scan = kept[0], regex.compile(bpe.PATTERN).finditer
         texts = [t or "" for t in part.column(1).to_pylist()]
-        idx, n, cut = encoder.words(texts)
-        size = encoder.size[idx]
-        edge = np.concatenate([[0], np.cumsum(n)])
         rows = []
-        for k, text in enumerate(texts):
-            tree = CountedText(text, cut[k], size[edge[k] : edge[k + 1]], encoder, scan)
-            before = tree.total
-            changes = edits(text)
+        for tree in CountedText.of(texts, encoder, scan):
+            before, changes = tree.total, edits(tree.text)
             for a, b, put in reversed(changes):
                 tree.apply(a, b, put)
-            rows.append((before, len(changes), tree.total, int(n[k]), tree.reencoded))
+            rows.append((before, len(changes), tree.total, tree.slots, tree.reencoded))
         cols = np.array(rows, np.int32).reshape(-1, 5)
         return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(cols[:, j]) for j in range(5))], names=["doc_id", "tokens_before", "edits", "tokens_after", "pretokens", "reencoded"])
 
