@@ -1,7 +1,7 @@
 """Operator 8: secret scans by password guess cost.
 
-Values that stand in a credential's context (``token = "..."``) are found with one
-JVM-side expression.  A dynamic programme then segments each value into dictionary
+Values that stand in a credential's context (``token = "..."``) or have the shape of
+a well-known key are found with one JVM-side expression.  A dynamic programme then segments each value into dictionary
 words, dates, repeats, keyboard walks and brute-force spans at the least number of
 guesses an attacker needs; a value that is hard to guess is a live secret, one that
 is cheap is a placeholder.
@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 #: Least log10 of guesses of a secret; 2**40 is about 10**12.
 LEAST_GUESSES = 12.0
-#: key, separator, optional quote, value; group 1 is the key and group 2 the value.
-CONTEXT = r"""(?i)\b([a-z0-9_.-]*(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credential)s?)["']?\s*(?:=>|:=|=|:)\s*["']?([^\s"'<>,;|]{6,256})"""
-_HINT = r"(?i)passw|pwd|passphrase|secret|token|key|credential"
+#: A name with separator and optional quote, or nothing before a value of a well-known shape; group 1 is the name and group 2 the value.
+_NAMED = r"""([a-z0-9_.-]*(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credential)s?)["']?\s*(?:=>|:=|=|:)\s*["']?"""
+_SHAPED = r"(?=(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{30}|xox[abpr]-[0-9A-Za-z]|sk_live_[0-9A-Za-z]|AIza[0-9A-Za-z_-]{30})"
+CONTEXT = rf"""(?i)\b(?:{_NAMED}|{_SHAPED})([^\s"'<>,;|]{{6,256}})"""
+_HINT = r"(?i)passw|pwd|passphrase|secret|token|key|credential|akia|asia[0-9a-z]{16}|gh[pousr]_|xox[abpr]-|sk_live_|aiza"
 SCHEMA_FINDING = "array<struct<key string, hash string, n_chars int, guesses double, secret boolean>>"
 
 _WORDS = (
@@ -109,7 +111,7 @@ def _judge(values: pa.Array, least: float) -> pa.Array:
         found = []
         for key, value in row or []:
             g = guesses(value)
-            found.append({"key": key.lower(), "hash": hashlib.sha256(value.encode()).hexdigest()[:16], "n_chars": len(value), "guesses": g, "secret": g >= least})
+            found.append({"key": (key or "").lower() or "key by shape", "hash": hashlib.sha256(value.encode()).hexdigest()[:16], "n_chars": len(value), "guesses": g, "secret": g >= least})
         out.append(found)
     kind = pa.list_(pa.struct([("key", pa.string()), ("hash", pa.string()), ("n_chars", pa.int32()), ("guesses", pa.float64()), ("secret", pa.bool_())]))
     return pa.array(out, kind)
