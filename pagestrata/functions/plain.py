@@ -12,11 +12,11 @@ from ..operators.htmltree import WS, collapse
 
 RESERVED = ("facts", "intro", "toc")
 _CUT_TAIL = re.compile(f"[{WS},;:]+$")
-_SENTENCE = re.compile(f"(?<=[.!?…。．！？])[{WS}]+")
+_SENTENCE = re.compile(f"(?<=[!?.…。．！？])[{WS}]+")
 _DATE = re.compile(r"([0-9]{4}-[0-9]{2}-[0-9]{2})")
 _JOINT = re.compile(f"[{WS}/–—·]+")
-_NOT_ID = regex.compile(r"[^\p{L}\p{N}_-]+")
-_ID = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}_-]{0,63}")
+_NOT_ID = regex.compile(r"[^\p{N}\p{L}_-]+")
+_ID = regex.compile(r"[\p{N}\p{L}][\p{N}\p{L}_-]{0,63}")
 _PART = re.compile(r"part-[0-9]+")
 
 

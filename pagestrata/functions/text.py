@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space as ECMAScript sees it, for Java's regular expressions.
 WS = r"\t\n\x0B\f\r    -     　﻿"
-SENTENCE_END = f"(?<=[.!?…。．！？])[{WS}]+"
+SENTENCE_END = f"(?<=[!?.…。．！？])[{WS}]+"
 _C = Column | str
 
 
@@ -53,7 +53,7 @@ def iso_date(c: _C) -> Column:
 
 def slugify(c: _C) -> Column:
     s = F.regexp_replace(F.lower(_col(c)), f"[{WS}/–—·]+", "-")
-    s = F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}_-]+", ""), "-{2,}", "-")
+    s = F.regexp_replace(F.regexp_replace(s, r"[^\p{N}\p{L}_-]+", ""), "-{2,}", "-")
     s = F.regexp_replace(s, "^-+|-+$", "")
     head = F.substring(s, 1, 64)
     back = F.instr(F.reverse(head), "-")
@@ -63,7 +63,7 @@ def slugify(c: _C) -> Column:
 
 def valid_id(c: _C) -> Column:
     c = _col(c)
-    return F.coalesce(c.rlike(r"^[\p{L}\p{N}][\p{L}\p{N}_-]{0,63}\z") & ~c.rlike(r"^part-[0-9]+\z"), F.lit(False))
+    return F.coalesce(c.rlike(r"^[\p{N}\p{L}][\p{N}\p{L}_-]{0,63}\z") & ~c.rlike(r"^part-[0-9]+\z"), F.lit(False))
 
 
 def dedupe_slugs(slugs: _C, reserved: tuple[str, ...] = ("facts", "intro", "toc")) -> Column:
@@ -127,9 +127,9 @@ def round_half_up(c: _C, places: int) -> Column:
 
 def terms(c: _C) -> Column:
     """Lower-cased runs of letters and digits longer than one character."""
-    return F.filter(F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[\p{L}\p{N}]+"), 0), lambda t: F.length(t) > 1)
+    return F.filter(F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[\p{N}\p{L}]+"), 0), lambda t: F.length(t) > 1)
 
 
 def terms_with_marks(c: _C) -> Column:
     """The other tokeniser: underscores and apostrophes belong to words."""
-    return F.filter(F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[\p{L}\p{N}_']+"), 0), lambda t: F.length(t) > 1)
+    return F.filter(F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[\p{N}\p{L}_']+"), 0), lambda t: F.length(t) > 1)

@@ -279,7 +279,7 @@ def summarize(blocks: list[Block], ids: dict[int, str]) -> str:
     return ""
 
 
-_NAME = regex.compile(r"\p{Lu}[\p{L}\p{N}'’-]*(?:[" + WS + r"]+\p{Lu}[\p{L}\p{N}'’-]*)+")
+_NAME = regex.compile(r"\p{Lu}[\p{N}\p{L}'’-]*(?:[" + WS + r"]+\p{Lu}[\p{N}\p{L}'’-]*)+")
 _ARTICLE = re.compile(f"^(?:The|An|A)[{WS}]+")
 _SPACE = re.compile(f"[{WS}]")
 

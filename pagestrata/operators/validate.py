@@ -22,9 +22,9 @@ from .extract import main_content, visible_text
 from .htmltree import WS, Node, parse
 from .render import CAP, FORMAT, TARGET
 
-META = ("type", "url", "lang", "updated", "series-prev", "series-next", "hash")
+META = frozenset("hash lang series-next series-prev type updated url".split())
 FINDINGS = "page_id long, ord int, level string, code string, message string"
-_ENTRY = re.compile(r"- ([^\s:]+)(?:: (.*))?")
+_ENTRY = re.compile(r"- (?P<id>[^:\s]+)(?:: (?P<said>.*))?")
 _GROUP = re.compile(r"- toc-[0-9]+: .+ \([0-9]+ chunks\)")
 _UNSEEN = frozenset("head iframe noscript script style svg template title".split())
 
@@ -88,7 +88,7 @@ def parse_document(md: str, format_name: str = FORMAT) -> dict[str, Any]:
 def _head(doc: dict[str, Any], lines: list[str], end: int) -> None:
     errors, meta = doc["errors"], doc["meta"]
     for i, x in enumerate(lines[1:end], 2):
-        pair = re.fullmatch("([a-z-]+): (.+)", x)
+        pair = re.fullmatch("([-a-z]+): (.+)", x)
         if not x:
             continue
         if x.startswith("# ") and doc["title"] is None:
@@ -103,7 +103,7 @@ def _head(doc: dict[str, Any], lines: list[str], end: int) -> None:
             errors.append((i, f"not a line of a header: {x[:60]}"))
     errors += [(1, f"there is no {k}") for k in ("title", "summary") if doc[k] is None]
     errors += [(1, f"there is no metadata {k}") for k in ("type", "hash") if k not in meta]
-    if "hash" in meta and not re.fullmatch("sha256:[0-9a-f]{16}", meta["hash"]):
+    if "hash" in meta and not re.fullmatch("sha256:[a-f0-9]{16}", meta["hash"]):
         errors.append((1, "the hash is not sha256 and 16 hexadecimal digits"))
 
 

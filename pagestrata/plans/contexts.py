@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable
 from html.parser import HTMLParser
@@ -60,37 +59,38 @@ def truncated(c: Column, most: int = LONGEST) -> tuple[Column, Column]:
     return F.when(over, F.concat(F.substring(c, 1, most), F.lit("\n[truncated]"))).otherwise(c), over
 
 
+_HIDDEN = frozenset("noscript script style template".split())
+_BREAKS = frozenset("article br div li p section tr".split())
+
+
 class _Flat(HTMLParser):
     """Tags dropped, headings marked, boilerplate kept."""
 
-    _BREAKS = frozenset("article br div li p section tr".split())
-
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
+        self.parts: list[str] = []
         self.hidden = 0
+        super().__init__()
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("noscript", "script", "style", "template"):
+    def handle_starttag(self, name, _attributes):
+        if name in _HIDDEN:
             self.hidden += 1
-        elif tag in ("h1", "h2", "h3", "h4"):
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag in self._BREAKS:
-            self.out.append("\n")
+        elif name in ("h1", "h2", "h3", "h4"):
+            self.parts.append("\n\n" + "#" * int(name[1]) + " ")
+        elif name in _BREAKS:
+            self.parts.append("\n")
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("noscript", "script", "style", "template") and self.hidden:
-            self.hidden -= 1
+    def handle_endtag(self, name):
+        self.hidden -= name in _HIDDEN and self.hidden > 0
 
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.out.append(data)
+    def handle_data(self, piece):
+        if self.hidden == 0:
+            self.parts.append(piece)
 
 
 def flat_markdown(html: str) -> str:
     p = _Flat()
     p.feed(html)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", "".join(p.out))).strip()
+    return re.sub("\n\n\n+", "\n\n", re.sub("[\t ]+", " ", "".join(p.parts))).strip()
 
 
 def markdown_baseline(html: Column) -> Column:
@@ -98,7 +98,7 @@ def markdown_baseline(html: Column) -> Column:
     return F.arrow_udf(lambda h: pa.array([None if x is None else flat_markdown(x) for x in h.to_pylist()], pa.string()), "string")(html)
 
 
-def sections(md: Column | str) -> DataFrame | Column:
+def sections(md: Column | str) -> Column:
     """The sections of a Markdown rendering, split before each second-level heading."""
     return F.split(md, "\n(?=## )")
 
@@ -156,7 +156,7 @@ def prompt(run: int, question: str, context: str) -> str:
 
 def best_line(question: str, context: str) -> str:
     """The line of most telling question words, each weighing the inverse of the lines it stands in; the first among equals."""
-    words = [w for w in re.findall("[a-z0-9]{3,}", question.lower()) if w not in _STOP]
+    words = [w for w in re.findall("[0-9a-z]{3,}", question.lower()) if w not in _STOP]
     lines = context.strip().splitlines()
     low = [x.lower() for x in lines]
     weight = {w: 1.0 / max(1, sum(w in x for x in low)) for w in words}
@@ -174,15 +174,11 @@ def offline_answer(run: int, question: str, context: str) -> tuple[str, int, int
     return line.strip() or "I don't know.", len(prompt(run, question, context)) // 4, len(line) // 4
 
 
-def _plain(s: str) -> str:
-    return re.sub("[^a-z0-9]+", " ", s.lower()).strip()
-
-
 def graded(answer: Column, gold: Column) -> Column:
     """Whether the answer holds the gold answer, letters and digits alone being compared."""
 
     def plain(c: Column) -> Column:
-        return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+        return F.trim(F.regexp_replace(F.lower(c), "[^0-9a-z]+", " "))
 
     return (gold != "") & F.contains(plain(answer), plain(gold))
 
@@ -239,7 +235,3 @@ def trial_summary(t: DataFrame) -> DataFrame:
 def run_counts(t: DataFrame) -> DataFrame:
     """(articles, questions): distinct articles, sorted, and the number of distinct questions."""
     return t.agg(F.array_sort(F.collect_set("article")).alias("articles"), F.count_distinct("article", "question").alias("questions"))
-
-
-def half_width(sd: float, n: int) -> float:
-    return 1.96 * sd / math.sqrt(n)

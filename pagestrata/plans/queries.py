@@ -47,7 +47,7 @@ def _collapsed(x: str) -> str:
 
 
 def _terms(x: str) -> str:
-    return f"list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 1)"
+    return f"list_filter(regexp_extract_all(lower({x}), '[\\p{{N}}\\p{{L}}]+'), lambda t: length(t) > 1)"
 
 
 #: Normalised article text of each page; on these pages no boilerplate stands inside an article.
@@ -84,7 +84,7 @@ def site_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FIRST_LINE = "nfc_normalize(split_part(text, chr(10), 1))"
-_SLUG = "trim(regexp_replace(regexp_replace(regexp_replace(lower(" + _FIRST_LINE + "), '[\\t\\n\\x0B\\f\\r \\x{00A0}/–—·]+', '-', 'g'), '[^\\p{L}\\p{N}_-]+', '', 'g'), '-{2,}', '-', 'g'), '-')"
+_SLUG = "trim(regexp_replace(regexp_replace(regexp_replace(lower(" + _FIRST_LINE + "), '[\\t\\n\\x0B\\f\\r \\x{00A0}/–—·]+', '-', 'g'), '[^\\p{N}\\p{L}_-]+', '', 'g'), '-{2,}', '-', 'g'), '-')"
 _CUT_SLUG = "CASE WHEN s = '' THEN 'section' WHEN length(s) <= 64 THEN s WHEN instr(reverse(left(s, 64)), '-') > 0 AND 64 - instr(reverse(left(s, 64)), '-') > 32 THEN left(s, 64 - instr(reverse(left(s, 64)), '-')) ELSE left(s, 64) END"
 
 
@@ -133,7 +133,7 @@ WITH d AS (SELECT doc_id, {_terms('text')} AS w FROM documents), s AS (SELECT co
 tf AS (SELECT doc_id, len(w) AS l, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 q AS (SELECT item_id, unnest(list_distinct({_terms('text')})) AS term FROM benchmark),
-r AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {rank.K1 + 1} / (tf + {rank.K1} * ({1 - rank.B} + {rank.B} * l / a))) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY item_id, doc_id)
+r AS (SELECT item_id, doc_id, sum(ln((n + 1) / (df + 0.5)) * tf * {rank.K1 + 1} / (tf + {rank.K1} * ({1 - rank.B} + {rank.B} * l / a))) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY item_id, doc_id)
 SELECT item_id, doc_id, round(score, 6) AS score, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS k FROM r) WHERE k <= 3
 """)
 def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

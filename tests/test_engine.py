@@ -218,7 +218,7 @@ def brute_bm25(texts, question):
         for q in dict.fromkeys(x for x in re.findall(r"[^\W_]+", question.lower()) if len(x) > 1):
             tf, df = t.count(q), sum(q in u for u in toks.values())
             if tf:
-                s += math.log(1 + (len(toks) - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len(t) / avg))
+                s += math.log((len(toks) + 1) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len(t) / avg))
         out[k] = s
     return out
 
