@@ -165,7 +165,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Words are compared lower-cased and counted from 0; a window may recur in its own
     document.  Rows with a null id, and null, empty or shorter texts, have none;
     repeated rows are copies of each other and each is reported; empty tables give no
-    rows; other columns are not read.
+    rows; other columns are not read.  docs should be a scan or a checkpoint, whose
+    rows come in the same order if a task is run again: steps are named by partition.
     """
     if window < 1:
         raise ValueError("window must be positive")
