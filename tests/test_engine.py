@@ -406,3 +406,19 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     if os.path.isdir("/root/testdata/sf0.001"):
         assert __spark_entry__.entry(spark).count() == 50
+
+
+# -- front
+
+
+def test_api(spark):
+    from pagestrata import api
+
+    got = api.convert(spark, ARTICLE, counter=api.token_counter(lambda t: len(t.split())))
+    assert got["ok"] and got["report"]["basis"] == "given counter" and got["report"]["sibling"] == len(got["md"].split())
+    assert api.convert(spark, ARTICLE, format_name="other")["md"].startswith("<!-- other 0.1 -->")
+    assert api.check(spark, ARTICLE, got["md"])["errors"] == 0 and api.check(spark, ARTICLE, "x")["errors"] > 0
+    hop = api.two_hop(spark, ARTICLE, "How does the wheel turn?")
+    assert hop["header"] == got["header"] and list(hop["chunks"])[0] == "wheel" and hop["chunks"]["wheel"] in got["md"]
+    assert api.link_tag('a"b.llm.md') == '<link rel="alternate" type="text/llm+markdown" href="a&quot;b.llm.md">'
+    assert spark.range(1).select(api.saved_percent(F.lit(200), F.lit(50))).first()[0] == 75.0
