@@ -60,4 +60,5 @@ def saved_percent(raw: Column, sent: Column) -> Column:
 
 def link_tag(path: str) -> str:
     """The element by which a page names its document."""
-    return f'<link rel="alternate" type="text/llm+markdown" href="{escape(path)}">'
+    attributes = {"href": escape(path), "rel": "alternate", "type": "text/llm+markdown"}
+    return "<link " + " ".join(f'{k}="{v}"' for k, v in attributes.items()) + ">"

@@ -1,6 +1,6 @@
 """Command line: generate documents from pages, validate them, rank chunks for a question.
 
-python -m pagestrata.cli generate INPUT... [--out DIR] [--json] [--split] [--site-index] [--base-url URL] [--quiet]
+python -m pagestrata.cli generate INPUT... [--quiet] [--site-index] [--split] [--base-url URL] [--out DIR] [--json]
 python -m pagestrata.cli validate PAGE_OR_DIR [DOCUMENT_OR_SPLIT_DIR] [--json] [--strict]
 python -m pagestrata.cli rank PAGE QUESTION
 
@@ -126,7 +126,7 @@ def main(argv: list[str] | None = None) -> int:
     g.add_argument("inputs", nargs="+")
     g.add_argument("--out")
     g.add_argument("--base-url")
-    for flag in ("--json", "--split", "--site-index", "--quiet"):
+    for flag in "--quiet --site-index --json --split".split():
         g.add_argument(flag, action="store_true")
     v = sub.add_parser("validate")
     v.add_argument("page")

@@ -37,7 +37,7 @@ SCHEMA = (
 _STR = pa.string()
 _ARROW = pa.schema(
     [("page_id", pa.int64()), ("ok", pa.bool_()), ("error", _STR), ("html_units", pa.int32()), ("main_text", _STR), ("script_chars", pa.int32()), ("thin", pa.bool_()), ("fallback", pa.bool_()), ("paragraphs", pa.int32()), ("html_ids", pa.list_(_STR))]
-    + [(c, _STR) for c in ("title", "summary", "type", "url", "lang", "updated", "series_prev", "series_next")]
+    + [(c, _STR) for c in "title summary type url lang updated series_prev series_next".split()]
     + [
         ("facts", pa.list_(pa.struct([("key", _STR), ("value", _STR)]))),
         ("tables", pa.list_(pa.struct([("id", _STR), ("cols", pa.list_(_STR)), ("rows", pa.list_(pa.list_(_STR)))]))),
@@ -45,7 +45,7 @@ _ARROW = pa.schema(
     ]
 )
 
-# ------------------------------------------------------------------ metadata
+# == metadata
 
 
 class Head:
@@ -147,7 +147,7 @@ def page_type(head: Head, url: str | None, paragraphs: int) -> str:
     return "article" if paragraphs >= 3 else "other"
 
 
-# --------------------------------------------------------------------- facts
+# == facts
 
 
 def _js(x: Any) -> str:
@@ -243,7 +243,7 @@ def tables(content: Content) -> tuple[list[dict[str, Any]], dict[int, str]]:
     return out, ids
 
 
-# -------------------------------------------------------------------- chunks
+# == chunks
 
 
 def render(blocks: list[Block], boundary: int, ids: dict[int, str]) -> str:
@@ -356,7 +356,7 @@ def packed(blocks: list[Block], ids: dict[int, str]) -> list[dict[str, Any]]:
     return out
 
 
-# --------------------------------------------------------------------- pages
+# == pages
 
 
 def build(html: str, url: str | None = None) -> dict[str, Any]:

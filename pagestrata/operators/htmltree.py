@@ -73,7 +73,7 @@ class Node:
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        HTMLParser.__init__(self)
         self.root = Node("#document", {}, None)
         self.open = [self.root]
         self.joins = False  # whether the next text belongs to the one before it

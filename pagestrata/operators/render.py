@@ -140,7 +140,7 @@ def json_text(format_name: str = FORMAT) -> Column:
             out.append(json.dumps(body, ensure_ascii=False, indent=2) + "\n")
         return pa.array(out, pa.string())
 
-    cols = ["title", "summary", "type", "url", "lang", "updated", "series_prev", "series_next", "hash", "facts", "tables", "chunks"]
+    cols = "title summary type url lang updated series_prev series_next hash facts tables chunks".split()
     return F.arrow_udf(dump, "string")(F.when(F.col("ok"), F.struct(*cols)))
 
 

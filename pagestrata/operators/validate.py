@@ -160,7 +160,7 @@ def _chunk(doc: dict[str, Any], cid: str, body: list[str], line: int) -> None:
     doc["chunks"].append(c)
 
 
-# ----------------------------------------------------------------- grounding
+# == grounding
 
 
 def canonical(text: str) -> str:
@@ -183,7 +183,7 @@ def page_texts(root: Node) -> tuple[str, str]:
 
     visit(root)
     for n in root.elements():
-        said += [n.attrs[k] for k in ("content", "alt", "datetime", "title", "value") if n.attrs.get(k)]
+        said += [n.attrs[k] for k in "alt content datetime title value".split() if n.attrs.get(k)]
         if n.tag == "script" and "ld+json" in n.attrs.get("type", ""):
             said.append(re.sub(r'["{}\[\]]', " ", n.text()))
         elif n.tag in ("title", "caption"):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import rank
 
-CONDITIONS = ("raw-html", "markdown", "llmstxt", "two-hop")
+CONDITIONS = tuple("raw-html markdown llmstxt two-hop".split())
 LONGEST = 400_000
 RUNS = 3
 PER_ARTICLE = 8
@@ -22,7 +22,7 @@ PRICE_IN, PRICE_OUT = 3.0, 15.0
 _NO_QUESTION = ("author", "image", "mainentity", "modified", "name", "published", "sameas", "type", "url")
 
 
-# ------------------------------------------------------------------ questions
+# == questions
 
 
 def titles(lines: DataFrame, most: int | None = None, text_col: str = "value", order_col: str = "ord") -> DataFrame:
@@ -51,7 +51,7 @@ def reachable(questions: DataFrame, texts: DataFrame) -> DataFrame:
     return both.withColumn("reachable", F.contains(F.lower("html"), gold) | F.contains(F.lower("md"), gold)).drop("html", "md")
 
 
-# ------------------------------------------------------------------- contexts
+# == contexts
 
 
 def truncated(c: Column, most: int = LONGEST) -> tuple[Column, Column]:
@@ -143,15 +143,16 @@ def contexts(pages: DataFrame, rendered: DataFrame, questions: DataFrame) -> Dat
     return out.select("page_id", "question_id", "condition", text.alias("context"), over.alias("truncated"))
 
 
-# -------------------------------------------------------------------- answers
+# == answers
 
 Provider = Callable[[str, str], tuple[str, int, int]]
+UNKNOWN = "I don't know."
 ANSWER = "Reply from the context alone and briefly; if it holds no answer, say: I don't know."
 _STOP = frozenset("how the was what when where which who".split())
 
 
 def prompt(run: int, question: str, context: str) -> str:
-    return f"[run {run}]\nQUESTION: {question}\n\nCONTEXT:\n{context}"
+    return "\n".join((f"[run {run}]", f"QUESTION: {question}", "", "CONTEXT:", context))
 
 
 def best_line(question: str, context: str) -> str:
@@ -171,7 +172,7 @@ def best_line(question: str, context: str) -> str:
 def offline_answer(run: int, question: str, context: str) -> tuple[str, int, int]:
     """(answer, tokens in, tokens out) without any model; tokens are a quarter of the characters."""
     line = best_line(question, context)
-    return line.strip() or "I don't know.", len(prompt(run, question, context)) // 4, len(line) // 4
+    return line.strip() or UNKNOWN, len(prompt(run, question, context)) // 4, len(line) // 4
 
 
 def graded(answer: Column, gold: Column) -> Column:
@@ -192,7 +193,7 @@ def trials(asked: DataFrame, runs: int = RUNS, answerer: Callable[[int, str, str
         return pa.array([{"answer": a, "input_tokens": i, "output_tokens": o} for a, i, o in got], pa.struct([("answer", pa.string()), ("input_tokens", pa.int64()), ("output_tokens", pa.int64())]))
 
     ask = F.arrow_udf(answer, "struct<answer string, input_tokens long, output_tokens long>").asNondeterministic()
-    out = rows.withColumn("a", ask("run", "question", "context")).select("article", "condition", "question", "gold", "run", "a.*", "truncated")
+    out = rows.withColumn("a", ask("run", "question", "context")).select(*"condition article question run gold truncated".split(), "a.*")
     return out.withColumn("correct", graded(F.col("answer"), F.col("gold")))
 
 
@@ -205,7 +206,7 @@ def request_key(provider: Column, system: Column, text: Column) -> Column:
     return F.sha2(F.to_json(F.struct(text.alias("prompt"), provider.alias("provider"), system.alias("system"))), 256)
 
 
-# ----------------------------------------------------------------- aggregates
+# == aggregates
 
 
 def mean_ci(c: Column | str) -> tuple[Column, Column]:

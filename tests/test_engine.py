@@ -15,7 +15,7 @@ from pagestrata.plans import contexts, queries, site
 from pagestrata.sources import files
 from pagestrata.streaming import state
 
-ARTICLE = """<!DOCTYPE html><html lang=" en "><head><title>The  Old Mill &amp; Dam</title><meta name="description" content="All about the mill.">
+ARTICLE = """<!doctype html><html lang=" en " class=x><head><title>The  Old Mill &amp; Dam</title><meta name="description" content="All about the mill.">
 <link rel="canonical" href="https://docs.example.org/mills/old.html"><link rel="next" href="/p2">
 <script type="application/ld+json">{"@type":"Article","name":"Old Mill","2":"two","1":"one","rating":{"@type":"Rating","value":4.0},"tags":["a","b"],"kind":"https://schema.org/Mill"}</script>
 <meta property="article:modified_time" content="2024-05-06T10:00:00Z"></head><body>
@@ -118,7 +118,7 @@ def test_grouped_contents_and_split(one):
 
 def test_json_mirrors(one):
     j = json.loads(one[1].json)
-    assert list(j) == [render.FORMAT, "title", "summary", "type", "url", "lang", "updated", "series", "hash", "toc", "facts", "chunks"]
+    assert list(j) == f"{render.FORMAT} title summary type url lang updated series hash toc facts chunks".split()
     assert [c["id"] for c in j["chunks"]] == [t["id"] for t in j["toc"]] and j["series"] == {"prev": None, "next": "/p2"} and one[1].json.endswith("}\n")
 
 
@@ -218,7 +218,7 @@ def brute_bm25(texts, question):
         for q in dict.fromkeys(x for x in re.findall(r"[^\W_]+", question.lower()) if len(x) > 1):
             tf, df = t.count(q), sum(q in u for u in toks.values())
             if tf:
-                s += math.log((len(toks) + 1) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len(t) / avg))
+                s += math.log((len(toks) + 1) / (df + 0.5)) * 2.4 * tf / (1.4 * (0.75 * len(t) / avg + 0.25) + tf)
         out[k] = s
     return out
 
@@ -322,7 +322,7 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "in/sub/node_modules/c.html").write_text("<p>no</p>")
     (tmp_path / "in/notes.txt").write_text("no")
     root, out = str(tmp_path / "in"), str(tmp_path / "out")
-    assert cli.main(["generate", root, "--out", out, "--json", "--split", "--site-index"]) == 0
+    assert cli.main(["generate", root, "--out", out, "--site-index", "--split", "--json"]) == 0
     assert sorted(r.rel for r in files.html_pages(spark, root).collect()) == ["a.html", "sub/b.htm"]
     assert {p.name for p in (tmp_path / "out").iterdir()} >= {"a.llm.md", "a.llm.json", "a.llm", "sub", ".well-known"}
     whole = {r.rel: r.md for r in files.split_documents_in(spark, out).collect()}
@@ -420,5 +420,5 @@ def test_api(spark):
     assert api.check(spark, ARTICLE, got["md"])["errors"] == 0 and api.check(spark, ARTICLE, "x")["errors"] > 0
     hop = api.two_hop(spark, ARTICLE, "How does the wheel turn?")
     assert hop["header"] == got["header"] and list(hop["chunks"])[0] == "wheel" and hop["chunks"]["wheel"] in got["md"]
-    assert api.link_tag('a"b.llm.md') == '<link rel="alternate" type="text/llm+markdown" href="a&quot;b.llm.md">'
+    assert api.link_tag('a"b.llm.md') == '<link href="a&quot;b.llm.md" rel="alternate" type="text/llm+markdown">'
     assert spark.range(1).select(api.saved_percent(F.lit(200), F.lit(50))).first()[0] == 75.0
