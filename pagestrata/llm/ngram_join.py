@@ -85,7 +85,7 @@ def subtrees(s: np.ndarray, threshold: float) -> np.ndarray:
     return keys.view(np.int64)
 
 
-# ---------------------------------------------------------------- the trie
+# == the trie
 
 
 class Level(NamedTuple):
@@ -218,7 +218,7 @@ def join_component(sets: list[np.ndarray], t: float) -> list[tuple[int, int, flo
     return [(a, b, s) for (a, b), s in sorted(pairs.items())]
 
 
-# ---------------------------------------------------------------- on Spark
+# == on Spark
 
 
 def _sets(base: DataFrame, n: int, t: float) -> DataFrame:
