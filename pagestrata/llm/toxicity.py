@@ -95,15 +95,17 @@ def presence(vocab: np.ndarray, seen: np.ndarray, doc: np.ndarray, h: np.ndarray
 
 def telling_words(doc: np.ndarray, h: np.ndarray, y: np.ndarray, most: int = VOCABULARY, least_docs: int = 5, least_g2: float = 30.0) -> np.ndarray:
     """Hashes of the words whose presence goes with the label: by likelihood ratio, in at least so many documents."""
-    words, inverse = np.unique(h, return_inverse=True)
-    pos, n_pos, n = np.bincount(inverse, weights=y[doc], minlength=len(words)), y.sum(), len(y)
-    df = np.bincount(inverse, minlength=len(words))
+    words, df = np.unique(h, return_counts=True)
+    words, df = words[df >= least_docs], df[df >= least_docs]
+    at = np.searchsorted(words, h[y[doc] > 0])
+    at = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == h[y[doc] > 0])] if len(words) else at[:0]
+    pos, n_pos, n = np.bincount(at, minlength=len(words)).astype(np.float64), y.sum(), len(y)
 
     def part(o: np.ndarray, e: np.ndarray) -> np.ndarray:
         return np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
 
     g2 = 2 * (part(pos, df * n_pos / n) + part(df - pos, df * (n - n_pos) / n) + part(n_pos - pos, (n - df) * n_pos / n) + part(n - n_pos - df + pos, (n - df) * (n - n_pos) / n))
-    ok = (df >= least_docs) & (g2 >= least_g2) & (pos * n > df * n_pos)
+    ok = (g2 >= least_g2) & (pos * n > df * n_pos)
     best = np.flatnonzero(ok)
     best = best[np.lexsort((words[best], -g2[best]))][:most]
     return np.sort(words[best])
