@@ -196,26 +196,55 @@ def trie_join(sets: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray,
     return np.minimum(a, b), np.maximum(a, b), o
 
 
+def prefix_length(n: np.ndarray | int, t: float) -> np.ndarray:
+    """Of two similar sets, so many grams of each, the first under any common order, have one in common."""
+    return (n - np.ceil(t * n - 1e-9) + 1).astype(np.int64)
+
+
+def prefix_join(sets: list[np.ndarray], t: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """As trie_join(), by comparing the pairs that share a gram of their prefixes, rarest grams first; None if that is over ``most`` grams to compare."""
+    m = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    flat, start, of = flat.astype(np.int64), np.cumsum(size) - size, np.repeat(np.arange(m), size)
+    o = np.lexsort((flat, np.bincount(flat)[flat], of))
+    on = o[np.arange(len(o)) - start[of] < prefix_length(size, t)[of]]
+    on = on[np.lexsort((of[on], flat[on]))]
+    token, member = flat[on], of[on]
+    last = np.searchsorted(token, token, "right")
+    later = last - np.arange(len(token)) - 1
+    if float((later * size[member]).sum()) > most:
+        return None
+    within = of * len(universe) + flat
+    o = np.argsort(member, kind="stable")
+    total, at = np.cumsum(later[o]), 0
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while at < len(o):
+        # whole sets, so that no pair comes up in two blocks
+        to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")), at + 1)
+        to = int(np.searchsorted(member[o], member[o[to - 1]], "right"))
+        e, at = o[at:to], to
+        pair = np.unique(np.repeat(member[e], later[e]) * m + member[_spread(e + 1, later[e])])
+        a, b = pair // m, pair % m
+        fits = np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9
+        a, b = a[fits], b[fits]
+        for k in range(0, len(a), 1 << 13):
+            x, y = a[k : k + (1 << 13)], b[k : k + (1 << 13)]
+            wanted = np.repeat(y, size[x]) * len(universe) + flat[_spread(start[x], size[x])]
+            hit = within[np.minimum(np.searchsorted(within, wanted), len(within) - 1)] == wanted
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[x]) - size[x])
+            yes = common >= required(size[x], size[y], t)
+            found.append((x[yes], y[yes], common[yes]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *(f[c] for f in found)]) for c in range(3))
+
+
 def join_component(sets: list[np.ndarray], t: float) -> list[tuple[int, int, float]]:
-    """Pairs inside the subtrees of a component; joined whole where the subtrees overlap so much that this is less work."""
+    """All similar pairs of a component; the prefixes are used where that is less work than the trie, with the same result."""
     m = len(sets)
-    groups: list[list[int]] = [list(range(m))]
-    if m > 2:
-        keys = [np.unique(subtrees(s, t)) for s in sets]
-        key = np.concatenate(keys)
-        of = np.repeat(np.arange(m), [len(k) for k in keys])
-        o = np.lexsort((of, key))
-        key, of = key[o], of[o]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        runs = {tuple(of[a:b].tolist()) for a, b in zip(first, [*first[1:], len(key)]) if b - a > 1}
-        if sum(len(r) * (len(r) - 1) for r in runs) < m * (m - 1):
-            groups = [list(r) for r in sorted(runs)]
-    pairs: dict[tuple[int, int], float] = {}
-    for g in groups:
-        for i, j, o in zip(*trie_join([sets[x] for x in g], t)):
-            a, b = g[int(i)], g[int(j)]
-            pairs[(a, b)] = float(o) / (len(sets[a]) + len(sets[b]) - int(o))
-    return [(a, b, s) for (a, b), s in sorted(pairs.items())]
+    got = prefix_join(sets, t, m * (m - 1)) if m > 2 else None
+    a, b, o = trie_join(sets, t) if got is None else got
+    return sorted((int(i), int(j), float(c) / (len(sets[i]) + len(sets[j]) - int(c))) for i, j, c in zip(a, b, o))
 
 
 # == on Spark

@@ -158,6 +158,22 @@ def test_ngram_join_edges(spark, docs, nothing):
     assert ngram_join.keep_one_of_each_group(nothing).count() == 0
 
 
+def test_components_are_joined_exactly():
+    """A large sparse component: a chain of long sets, of which each is barely similar to its neighbours; and a dense one."""
+    r = np.random.default_rng(9)
+    grams = np.unique(r.integers(0, (1 << 64) - 1, 50_000, dtype=np.uint64))
+    r.shuffle(grams)
+    for step, width, m in ((36, 130, 250), (3, 130, 60), (100, 130, 40)):
+        sets = [np.sort(grams[k * step : k * step + width]) for k in range(m)]
+        want = {}
+        for i in range(m):
+            for j in range(i + 1, m):
+                o = len(np.intersect1d(sets[i], sets[j]))
+                if o >= ngram_join.required(np.array(width), np.array(width), 0.55):
+                    want[i, j] = o / (2 * width - o)
+        assert {(i, j): s for i, j, s in ngram_join.join_component(sets, 0.55)} == want
+
+
 # -- 3
 
 
