@@ -6,14 +6,19 @@ level, all partial overlaps of a shared prefix being computed once, and a subtre
 is dropped as soon as its overlap plus the remaining lengths cannot reach the
 required overlap.
 
-To distribute it, the global order is started at ``ROTATIONS`` points of the hash
-circle; in each rotation a set's first ``DEPTH`` grams name the subtree of that
-rotation's trie it falls into, and only sets that meet in a subtree are compared.
-Sets of at most ``SMALL`` grams also meet by every gram of their exact prefix
-filter.  Subtrees that share a set are shipped together (connected components), so
-that each set travels once.  Joining inside subtrees is exact; a pair of Jaccard
-similarity s meets in some subtree with probability about 1-(1-s**DEPTH)**ROTATIONS
-(0.98 at 0.55, 0.999 at 0.65).
+To distribute it, sets of more than ``SMALL`` grams are sorted into subtrees: the
+global order is started at ``ROTATIONS`` points of the hash circle, and in each
+rotation a set's first ``DEPTH`` grams name the subtree of that rotation's trie it
+falls into.  A pair of such sets of Jaccard similarity s meets in some subtree with
+probability about 1-(1-s**DEPTH)**d, d = n*(1-(1-1/n)**ROTATIONS) being the different
+starts in n grams (at 0.55: 0.96 from 100 grams, 0.97 from 200, 0.98 from 1000; at
+0.65 over 0.99).  Pairs whose smaller set has at most ``SMALL`` grams are met exactly:
+every set of up to SMALL / threshold grams is also sent to each gram of its prefix
+(enough of its grams, those common in a sample last, that similar sets must share
+one), with a bitmap that rules pairs out there that can't be similar.
+
+Sets that meet are shipped together (connected components), so that each set travels
+once, and all similar pairs of a component are found.
 """
 
 from __future__ import annotations
@@ -35,7 +40,12 @@ N = 3
 THRESHOLD = 0.55
 ROTATIONS = 40
 DEPTH = 4
-SMALL = 12
+#: Pairs whose smaller set has at most so many grams are found exactly.
+SMALL = 100
+#: 64-bit words of the bitmap of a short set.
+BITMAP = 8
+#: One of so many short sets is looked at for common grams, at most HOT_MOST of those that occur in at least HOT_LEAST of them; this changes the work only, not the result.
+HOT_EVERY, HOT_LEAST, HOT_MOST = 64, 8, 100_000
 _U = np.uint64
 
 
@@ -67,7 +77,7 @@ _STARTS = (np.arange(ROTATIONS, dtype=np.float64) * (2.0**64 / ROTATIONS)).astyp
 _SALT = K.mix(np.arange(1, ROTATIONS + 1, dtype=_U))
 
 
-def subtrees(s: np.ndarray, threshold: float) -> np.ndarray:
+def subtrees(s: np.ndarray) -> np.ndarray:
     """Names of the subtrees that a set falls into."""
     if not len(s):
         return np.zeros(0, np.int64)
@@ -78,11 +88,23 @@ def subtrees(s: np.ndarray, threshold: float) -> np.ndarray:
     keys = K.mix(picked[:, 0])
     for j in range(1, depth):
         keys = K.mix(keys * _U(0x9E3779B97F4A7C15) + picked[:, j])
-    keys = np.unique(keys)
-    if len(s) <= SMALL:
-        prefix = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1
-        keys = np.concatenate([keys, K.mix(s[:prefix] ^ _U(0xA5A5A5A5A5A5A5A5))])
-    return keys.view(np.int64)
+    return np.unique(keys).view(np.int64)
+
+
+def short_limit(t: float) -> int:
+    """Most grams of a set that can be similar to one of SMALL grams."""
+    return math.floor(SMALL / t + 1e-9)
+
+
+def prefix_length(n: np.ndarray | int, t: float) -> np.ndarray:
+    """Of two similar sets, so many grams of each, the first under any common order, have one in common."""
+    return (n - np.ceil(t * n - 1e-9) + 1).astype(np.int64)
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * BITMAP bits whether an odd number of grams hash to it; two sets differ in at least as many grams as their bitmaps in bits."""
+    odd = np.bincount((K.mix(s) % _U(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8))
 
 
 # == the trie
@@ -196,11 +218,6 @@ def trie_join(sets: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray,
     return np.minimum(a, b), np.maximum(a, b), o
 
 
-def prefix_length(n: np.ndarray | int, t: float) -> np.ndarray:
-    """Of two similar sets, so many grams of each, the first under any common order, have one in common."""
-    return (n - np.ceil(t * n - 1e-9) + 1).astype(np.int64)
-
-
 def prefix_join(sets: list[np.ndarray], t: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """As trie_join(), by comparing the pairs that share a gram of their prefixes, rarest grams first; None if that is over ``most`` grams to compare."""
     m = len(sets)
@@ -250,30 +267,101 @@ def join_component(sets: list[np.ndarray], t: float) -> list[tuple[int, int, flo
 # == on Spark
 
 
+_SETS = "doc_id long, set_id long, keys array<long>, short array<long>"
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+
 def _sets(base: DataFrame, n: int, t: float) -> DataFrame:
-    """(doc_id, set_id, keys) of the documents that have words."""
+    """(doc_id, set_id, keys, short) of the documents that have words: the subtrees of a set of more than SMALL grams, and all grams of one that can be similar to a smaller one."""
+    limit, none = short_limit(t), np.zeros(0, np.int64)
 
     def f(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = gram_sets(part.column(1), n)
         on = np.array([len(s) > 0 for s in sets], bool)
-        keys = [subtrees(s, t) for s in sets if len(s)]
-        offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-        return pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on)), pa.array([set_key(s) for s in sets if len(s)], pa.int64()), lists], names=["doc_id", "set_id", "keys"])
+        sets = [s for s in sets if len(s)]
+        keys = _lists([subtrees(s) if len(s) > SMALL else none for s in sets])
+        short = _lists([s.view(np.int64) if len(s) <= limit else none for s in sets])
+        return pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on)), pa.array([set_key(s) for s in sets], pa.int64()), keys, short], names=["doc_id", "set_id", "keys", "short"])
 
-    return K.map_steps(base, f, "doc_id long, set_id long, keys array<long>")
+    return K.map_steps(base, f, _SETS)
 
 
 def _lead(t: pa.Table) -> pa.RecordBatch:
-    """Of the rows of each set, the keys stay only with the least document; repeated rows go."""
+    """Of the rows of each set, keys and grams stay only with the least document; repeated rows go."""
     doc, sid = K.column(t, "doc_id"), K.column(t, "set_id")
     o = np.lexsort((doc, sid))
     doc, sid = doc[o], sid[o]
     new_set = np.concatenate([[True], sid[1:] != sid[:-1]])
     new = new_set | np.concatenate([[True], doc[1:] != doc[:-1]])
-    keys = t.column("keys").combine_chunks().take(pa.array(o[new]))
-    keys = pc.if_else(pa.array(new_set[new]), keys, pa.scalar(None, keys.type))
-    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(sid[new]), keys], names=["doc_id", "set_id", "keys"])
+    lists = []
+    for name in ("keys", "short"):
+        of = t.column(name).combine_chunks().take(pa.array(o[new]))
+        lists.append(pc.if_else(pa.array(new_set[new]), of, pa.scalar(None, of.type)))
+    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(sid[new]), *lists], names=["doc_id", "set_id", "keys", "short"])
+
+
+def _common_grams(short: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, count) of grams common in a sample of short sets, by gram."""
+    some = short.where(F.expr(f"pmod(set_id, {HOT_EVERY}) = 0")).select(F.explode("short").alias("gram"))
+    top = some.groupBy("gram").count().where(F.col("count") >= HOT_LEAST).orderBy(F.desc("count"), "gram").limit(HOT_MOST).toArrow()
+    gram, count = K.column(top, "gram").view(_U), K.column(top, "count")
+    o = np.argsort(gram)
+    return gram[o], count[o]
+
+
+def _prefixes(short: DataFrame, t: float) -> DataFrame:
+    """(key, set_id, n, bits): a row for each gram of a short set's prefix, common grams last in the order."""
+    hot, count = _common_grams(short)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    lists = part.column(1)
+                    grams, size = lists.flatten().to_numpy(zero_copy_only=False).view(_U), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                    rank = np.zeros(len(grams), np.int64)
+                    if len(hot):
+                        place = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
+                        rank = np.where(hot[place] == grams, count[place], 0)
+                    of, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+                    o = np.lexsort((grams, rank, of))
+                    on = o[np.arange(len(o)) - first[of] < prefix_length(size, t)[of]]
+                    bits = pa.array([bitmap(grams[a : a + k]).tobytes() for a, k in zip(first, size)], pa.binary())
+                    row = pa.array(of[on])
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[on].view(np.int64)), part.column(0).take(row), pa.array(size[of[on]].astype(np.int32)), bits.take(row)], names=["key", "set_id", "n", "bits"])
+
+    return short.mapInArrow(run, "key long, set_id long, n int, bits binary")
+
+
+def _meet_short(t: float):
+    """Edges between the sets that share a prefix gram and may be similar by size and bitmap."""
+
+    def f(table: pa.Table) -> pa.RecordBatch:
+        key, sid, n = K.column(table, "key"), K.column(table, "set_id"), K.column(table, "n")
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), _U).reshape(-1, BITMAP)
+        o = np.lexsort((n, key))
+        key, sid, n, bits = key[o], sid[o], n[o], bits[o]
+        run = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
+        width = int(n.max() / t) + 2
+        # partners: the later ones of the run, up to the greatest size that fits
+        later = np.searchsorted(run * width + n, run * width + np.floor(n / t + 1e-9).astype(np.int64), "right") - np.arange(len(n)) - 1
+        rows = np.flatnonzero(later)
+        total, at, edges = np.cumsum(later[rows]), 0, np.zeros((0, 2), np.int64)
+        while at < len(rows):
+            to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 18), "right")), at + 1)
+            r, at = rows[at:to], to
+            x, y = np.repeat(r, later[r]), _spread(r + 1, later[r])
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            ok = apart <= n[x] + n[y] - 2 * required(n[x], n[y], t)
+            x, y = sid[x[ok]], sid[y[ok]]
+            edges = np.unique(np.concatenate([edges, np.stack([np.maximum(x, y), np.minimum(x, y)], 1)]), axis=0) if len(x) else edges
+        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
+
+    return f
 
 
 def _meet(t: pa.Table) -> pa.RecordBatch:
@@ -327,9 +415,11 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     It is linear in groups of identical documents, however large they are.
     """
     base = K.ids_and_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    d = K.cut(K.map_partition(_sets(base, n, threshold).repartition("set_id"), _lead, "doc_id long, set_id long, keys array<long>"))
+    d = K.cut(K.map_partition(_sets(base, n, threshold).repartition("set_id"), _lead, _SETS))
     lead = d.where(F.col("keys").isNotNull())
     edges = K.map_partition(lead.select("set_id", F.explode("keys").alias("key")).repartition("key"), _meet, "u long, v long")
+    short = lead.where(F.size("short") > 0).select("set_id", "short")
+    edges = edges.unionByName(K.map_partition(_prefixes(short, threshold).repartition("key"), _meet_short(threshold), "u long, v long"))
     comp = connected(edges)
     wanted = K.cut(lead.select("doc_id", "set_id").join(comp.withColumnRenamed("node", "set_id"), "set_id").select("doc_id", "set_id", "comp"))
     texts = base.join(K.small(wanted, wanted.count()), "doc_id").select("doc_id", "text", "comp", "set_id")

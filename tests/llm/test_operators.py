@@ -158,6 +158,22 @@ def test_ngram_join_edges(spark, docs, nothing):
     assert ngram_join.keep_one_of_each_group(nothing).count() == 0
 
 
+def test_short_sets_are_joined_exactly(spark):
+    """Near copies of 15 to 180 words, also of unequal length, at similarities down to the threshold."""
+    rows = []
+    for i in range(400):
+        r = random.Random(1000 + i)
+        n = r.choice([10, 14, 18, 24, 32, 45, 62, 80, 102])
+        w = text(n, 5000, 2000 + i).split()
+        copy = w + text(int((n - 2) * r.uniform(0.6, 0.85)), 5000, 9000 + i).split() if i % 2 else edited(" ".join(w), r.uniform(0.05, 0.12), i).split()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(copy))]
+    rows += [(5000 + i, "this one passage is in many short documents of the table " + text(r, 5000, 7000 + i)) for i, r in enumerate([6, 9, 14, 30, 60] * 20)]
+    want = brute_pairs(rows)
+    assert len(want) > 250 and sum(s < 0.63 for s in want.values()) > 80
+    got = {(r.left_id, r.right_id): r.jaccard for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_components_are_joined_exactly():
     """A large sparse component: a chain of long sets, of which each is barely similar to its neighbours; and a dense one."""
     r = np.random.default_rng(9)
