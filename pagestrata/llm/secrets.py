@@ -23,7 +23,9 @@ LEAST_GUESSES = 12.0
 #: A name with separator and optional quote, or nothing before a value of a well-known shape; group 1 is the name and group 2 the value.
 _NAMED = r"""([a-z0-9_.-]*(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credential)s?)["']?\s*(?:=>|:=|=|:)\s*["']?"""
 _SHAPED = r"(?=(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{30}|xox[abpr]-[0-9A-Za-z]|sk_live_[0-9A-Za-z]|AIza[0-9A-Za-z_-]{30})"
-CONTEXT = rf"""(?i)\b(?:{_NAMED}|{_SHAPED})([^\s"'<>,;|]{{6,256}})"""
+#: A value after a quote goes to the next such quote on the line that has no backslash before it; any other goes to a blank or delimiter.  Each part repeats a single character class, which the JVM matches without a stack.
+_QUOTED = "|".join(rf"""(?<={q})(?!(?:[^{q}\\\r\n]|\\.){{0,5}}{q})[^\r\n]{{6,}}?(?=(?<!\\){q})""" for q in "\"'")
+CONTEXT = rf"""(?i)\b(?:{_NAMED}|{_SHAPED})({_QUOTED}|[^\s"'<>,;|]{{6,}})"""
 _HINT = r"(?i)passw|pwd|passphrase|secret|token|key|credential|akia|asia[0-9a-z]{16}|gh[pousr]_|xox[abpr]-|sk_live_|aiza"
 SCHEMA_FINDING = "array<struct<key string, hash string, n_chars int, guesses double, secret boolean>>"
 
@@ -68,14 +70,14 @@ def _spans(s: str) -> list[tuple[int, int, float]]:
         m = _DATE.match(s, i)
         if m:
             out.append((i, m.end(), math.log10(365 * 150) if m.end() - i > 4 else math.log10(150)))
-    for i in range(n):
-        # a block and how often it follows itself
-        for size in range(1, min(16, (n - i) // 2) + 1):
-            block, j = s[i : i + size], i + size
-            while s.startswith(block, j):
-                j += size
-            if j - i >= max(3, 2 * size):
-                out.append((i, j, size * math.log10(_alphabet(block)) + math.log10((j - i) // size)))
+    for size in range(1, min(16, n // 2) + 1):
+        # a block and how often it follows itself; same: from i on, so many characters equal those size places on
+        same = 0
+        for i in range(n - size - 1, -1, -1):
+            same = same + 1 if s[i] == s[i + size] else 0
+            times = same // size + 1
+            if times >= 2 and times * size >= 3:
+                out.append((i, i + times * size, size * math.log10(_alphabet(s[i : i + size])) + math.log10(times)))
     i = 0
     while i < n - 2:
         j = i + 1
@@ -87,9 +89,12 @@ def _spans(s: str) -> list[tuple[int, int, float]]:
     return out
 
 
-@lru_cache(maxsize=10_000)
 def guesses(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation; 0 for the empty value."""
+    """log10 of the guesses of the cheapest segmentation; 0 for the empty value.  Linear in its length; only short values are remembered."""
+    return _remembered(value) if len(value) <= 256 else _guesses(value)
+
+
+def _guesses(value: str) -> float:
     n = len(value)
     per = math.log10(_alphabet(value)) if n else 0.0
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
@@ -105,6 +110,9 @@ def guesses(value: str) -> float:
     return round(min(best[n]), 6)
 
 
+_remembered = lru_cache(maxsize=10_000)(_guesses)
+
+
 def _judge(values: pa.Array, least: float) -> pa.Array:
     out = []
     for row in values.to_pylist():

@@ -429,6 +429,25 @@ def test_secret_scan(spark, docs, nothing):
     assert sorted(map(str, secrets.redact(docs).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_secret_values_are_taken_whole(spark):
+    r = random.Random(12)
+    jwt = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-.") for _ in range(700))
+    other = jwt[:300] + jwt[300:][::-1]
+    values = [jwt, other, "correct horse battery staple", "k9,Wz<4|t;Qm>2x", "it's 7 Rq!x of", 'a\\"b9 Kq\\"zzX4']
+    rows = [(0, f"token: {jwt} end"), (1, f'token = "{other}" end')] + [(i, f'passphrase = "{v}" and "more"') for i, v in enumerate(values[2:], 2)]
+    rows += [(6, 'password = "" but "another thing of some length"'), (7, 'token = "open-0b96a8c8d79c4a50, not closed'), (8, "secret: 'Tr0ub, 4dor & 3' x"), (9, 'password = "changeme" and "more"')]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in secrets.scan(d).collect()}
+    assert {i: (got[i].n_chars, got[i].secret) for i in range(6)} == {i: (len(v), True) for i, v in enumerate(values)} and got[0].hash != got[1].hash
+    assert 6 not in got and got[7].n_chars == 21 and got[8].n_chars == 15 and not got[9].secret
+    clean = {x.doc_id: x.text for x in secrets.redact(d).collect()}
+    assert clean[0] == "token: [SECRET] end" and clean[1] == 'token = "[SECRET]" end' and all(clean[i] == 'passphrase = "[SECRET]" and "more"' for i in range(2, 6))
+    assert clean[6] == rows[6][1] and clean[8] == "secret: '[SECRET]' x" and clean[9] == rows[9][1]
+    assert secrets.guesses("a" * 50_000) < 12 < secrets.guesses(jwt * 30)
+    long = spark.createDataFrame([(1, 'token = "' + jwt * 300 + '" x ' + "'")], "doc_id long, text string")
+    assert secrets.redact(long).first().text == "token = \"[SECRET]\" x '"
+
+
 # -- 9
 
 
