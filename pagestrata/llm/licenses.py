@@ -8,6 +8,7 @@ and evaluates its and/or/with over the known licences.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import ahocorasick
 import pyarrow as pa
@@ -38,7 +39,7 @@ PHRASES = {
     "redistribution and use in source and binary forms": "BSD-3-Clause", "bsd 3-clause": "BSD-3-Clause", "bsd 2-clause": "BSD-2-Clause", "isc license": "ISC", "zlib license": "Zlib", "boost software license": "BSL-1.0",
     "cc by-nc-sa 4.0": "CC-BY-NC-SA-4.0", "cc by-nc-nd 4.0": "CC-BY-NC-ND-4.0", "cc by-nc 4.0": "CC-BY-NC-4.0", "cc by-sa 4.0": "CC-BY-SA-4.0", "cc by 4.0": "CC-BY-4.0",
     "creative commons attribution 4.0": "CC-BY-4.0", "creative commons attribution-sharealike 4.0": "CC-BY-SA-4.0", "creative commons attribution-noncommercial 4.0": "CC-BY-NC-4.0",
-    "cc0 1.0": "CC0-1.0", "released into the public domain": "Unlicense", "all rights reserved. proprietary and confidential": "LicenseRef-Proprietary",
+    "cc0 1.0": "CC0-1.0", "released into the public domain": "Unlicense", "all rights reserved": "LicenseRef-Proprietary",
 }
 _LOWER = {k.lower(): k for k in KNOWN}
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+-]+")
@@ -140,10 +141,25 @@ def findings(text: str, a: ahocorasick.Automaton) -> list[tuple[str, str, list[s
     low = text.lower()
     whole = text if len(low) == len(text) else low
     out: dict[tuple[str, str], list] = {}
-    for end, (phrase, licence) in a.iter(low):
+    # phrases may be wrapped: every run of white space is matched as one blank
+    flat = " ".join(low.split())
+    hits = list(a.iter(flat))
+    place, at, n = [], [], 0
+    if hits:
+        for m in re.finditer(r"\S+", low):
+            place.append(n)
+            at.append(m.start())
+            n += m.end() - m.start() + 1
+
+    def original(k: int) -> int:
+        w = bisect_right(place, k) - 1
+        return at[w] + k - place[w]
+
+    for end, (phrase, licence) in hits:
         start = end - len(phrase) + 1
+        before, after = flat[start - 1 : start], flat[end + 1 : end + 2]
+        start, end = original(start), original(end)
         if licence:
-            before, after = low[start - 1 : start], low[end + 1 : end + 2]
             if before.isalnum() or after.isalnum():
                 continue
             key, value = ("notice", licence), ([licence], KNOWN[licence])
@@ -162,7 +178,7 @@ def findings(text: str, a: ahocorasick.Automaton) -> list[tuple[str, str, list[s
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, source, expression, licenses, category, first_char, occurrences): one row for each different notice or tag expression of a document.
 
-    Matching ignores case; offsets count characters of the lower-cased text from 0.
+    Matching ignores case and takes any run of white space as a blank; offsets count characters of the lower-cased text from 0.
     Null and empty texts have no findings; null ids are kept as null; repeated rows
     give repeated results; malformed expressions have no licences and category
     unknown; other columns are not read.

@@ -488,6 +488,15 @@ def test_licence_scan_against_search(spark, docs, nothing):
     assert licenses.scan(docs).count() == 0 and licenses.scan(nothing).count() == 0
 
 
+def test_licence_notices_across_lines_and_reserved_rights():
+    a = licenses.automaton()
+    assert licenses.findings("Some text.\nAll rights reserved.", a) == [("notice", "LicenseRef-Proprietary", ["LicenseRef-Proprietary"], "proprietary", 11, 1)]
+    assert [f[5] for f in licenses.findings("All rights\n reserved. Proprietary and confidential", a)] == [1]
+    mit = "\n\n  Permission is hereby granted, free of charge,\n  to any\tperson obtaining a copy\nSPDX-License-Identifier:  Apache-2.0\nor so. Under the MIT\r\nLicense."
+    assert [(f[0], f[1], f[4], f[5]) for f in licenses.findings(mit, a)] == [("notice", "MIT", 4, 2), ("tag", "Apache-2.0", mit.index("SPDX"), 1)]
+    assert licenses.findings("overall rights reserved, summit\nlicense", a) == [] == licenses.findings(" \n ", a)
+
+
 # -- 10
 
 
