@@ -1,29 +1,28 @@
 """Operator 2: n-gram Jaccard self-join by prefix trees.
 
-Every document is the set of its word n-grams under one global order (the order of
-their 64-bit hashes).  Sets are stored in a trie; a query set walks it level by
-level, all partial overlaps of a shared prefix being computed once, and a subtree
-is dropped as soon as its overlap plus the remaining lengths cannot reach the
-required overlap.
-
-To distribute it, sets of more than ``SMALL`` grams are sorted into subtrees: the
-global order is started at ``ROTATIONS`` points of the hash circle, and in each
-rotation a set's first ``DEPTH`` grams name the subtree of that rotation's trie it
-falls into.  A pair of such sets of Jaccard similarity s meets in some subtree with
-probability about 1-(1-s**DEPTH)**d, d = n*(1-(1-1/n)**ROTATIONS) being the different
-starts in n grams (at 0.55: 0.96 from 100 grams, 0.97 from 200, 0.98 from 1000; at
-0.65 over 0.99).  Pairs whose smaller set has at most ``SMALL`` grams are met exactly:
-every set of up to SMALL / threshold grams is also sent to each gram of its prefix
-(enough of its grams, those common in a sample last, that similar sets must share
-one), with a bitmap that rules pairs out there that can't be similar.
-
-Sets that meet are shipped together (connected components), so that each set travels
-once, and all similar pairs of a component are found.
+Every document is the set of its word n-grams under one global order (grams common
+in a sample last, else the order of their 64-bit hashes).  Sets are stored in a trie;
+a query set walks it level by level, all partial overlaps of a shared prefix being
+computed once, and a subtree is dropped as soon as its overlap plus the remaining
+lengths cannot reach the required overlap.
+
+To distribute it without losing a pair, the grams are divided into parts by hash.
+If two sets have similarity t, then in at least one part their shares of it have
+(were it less in each, the sums over the parts would give less in all).  Shares of
+similarity t have a gram of their prefixes in common, so each share is sent to the
+subtrees of its prefix grams, with a 64-bit bitmap; shares that meet there and may be
+similar by size, place of the gram and bitmap give an edge.  The number of parts goes by the size of the
+set, so that a share has 4 to 16 grams on average; a set whose partners may be of the
+next smaller class is sent in the parts of that class too.  All of this can only rule
+out pairs that aren't similar.
+
+Connected sets travel together, each once, and the trie finds the similar pairs of a
+component.  A large component is divided into blocks, and each pair of blocks is a
+group of its own.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,25 +33,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .components import connected
+from .components import connected, forest
 
 N = 3
 THRESHOLD = 0.55
-ROTATIONS = 40
-DEPTH = 4
-#: Pairs whose smaller set has at most so many grams are found exactly.
-SMALL = 100
-#: 64-bit words of the bitmap of a short set.
-BITMAP = 8
-#: One of so many short sets is looked at for common grams, at most HOT_MOST of those that occur in at least HOT_LEAST of them; this changes the work only, not the result.
-HOT_EVERY, HOT_LEAST, HOT_MOST = 64, 8, 100_000
+#: One of so many documents is looked at for common grams, at most HOT_MOST of those that occur in at least HOT_LEAST of them; this changes the work only, not the result.
+HOT_EVERY, HOT_LEAST, HOT_MOST = 16, 8, 100_000
+#: Bytes of text of a block of a component, and of the grams sent to one task.
+BLOCK_BYTES, ROUTE_BYTES = 8 << 20, 24 << 20
+#: Rows that are gathered before they are sent, and the variants of a subtree up to which all pairs of them are tested.
+GATHER, RUN = 1 << 21, 256
 _U = np.uint64
+_LABEL = _U((1 << 48) - 1)
 
 
 def gram_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text; a text of fewer than n words has the one gram of all its words, and one without words none."""
-    w = K.words(texts)
-    size = np.bincount(w.doc, minlength=len(texts)) if len(w.doc) else np.zeros(len(texts), np.int64)
+    return sets_of(K.words(texts), len(texts), n)
+
+
+def sets_of(w: K.Words, m: int, n: int) -> list[np.ndarray]:
+    size = np.bincount(w.doc, minlength=m) if len(w.doc) else np.zeros(m, np.int64)
     first = np.cumsum(size) - size
     g = K.window_hash(w.hash, n)
     out = []
@@ -67,33 +68,18 @@ def gram_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
     return out
 
 
-def set_key(s: np.ndarray) -> int:
-    """64-bit fingerprint of a set, as a signed integer."""
-    total = np.add.reduce(K.mix(s ^ _U(0x5851F42D4C957F2D)))
-    return int(K.mix(np.array([total + _U(len(s))], _U)).view(np.int64)[0])
-
-
-_STARTS = (np.arange(ROTATIONS, dtype=np.float64) * (2.0**64 / ROTATIONS)).astype(_U)
-_SALT = K.mix(np.arange(1, ROTATIONS + 1, dtype=_U))
-
-
-def subtrees(s: np.ndarray) -> np.ndarray:
-    """Names of the subtrees that a set falls into."""
-    if not len(s):
-        return np.zeros(0, np.int64)
-    at = np.searchsorted(s, _STARTS)
-    depth = min(DEPTH, len(s))
-    picked = s[(at[:, None] + np.arange(depth)) % len(s)]
-    # equal paths from different starts of the order are one subtree
-    keys = K.mix(picked[:, 0])
-    for j in range(1, depth):
-        keys = K.mix(keys * _U(0x9E3779B97F4A7C15) + picked[:, j])
-    return np.unique(keys).view(np.int64)
-
-
-def short_limit(t: float) -> int:
-    """Most grams of a set that can be similar to one of SMALL grams."""
-    return math.floor(SMALL / t + 1e-9)
+def text_keys(w: K.Words, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits, as two numbers, by which the word sequences of m texts are told apart, and their numbers of words."""
+    size = np.bincount(w.doc, minlength=m) if len(w.doc) else np.zeros(m, np.int64)
+    on = np.flatnonzero(size)
+    place = np.arange(len(w.hash), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
+    keys = []
+    for salt in (_U(0x5851F42D4C957F2D), _U(0xA0761D6478BD642F)):
+        h = K.mix(w.hash + K.mix(place.astype(_U) * _U(0x9E3779B97F4A7C15) + salt))
+        key = np.zeros(m, _U)
+        key[on] = K.mix(np.add.reduceat(h, (np.cumsum(size) - size)[on]) + size[on].astype(_U)) if len(on) else 0
+        keys.append(key.view(np.int64))
+    return keys[0], keys[1], size
 
 
 def prefix_length(n: np.ndarray | int, t: float) -> np.ndarray:
@@ -101,23 +87,42 @@ def prefix_length(n: np.ndarray | int, t: float) -> np.ndarray:
     return (n - np.ceil(t * n - 1e-9) + 1).astype(np.int64)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """For each of 64 * BITMAP bits whether an odd number of grams hash to it; two sets differ in at least as many grams as their bitmaps in bits."""
-    odd = np.bincount((K.mix(s) % _U(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
-    return np.packbits(odd.astype(np.uint8))
+def size_class(n: np.ndarray) -> np.ndarray:
+    """k for the sets of n grams that are divided into 4**k parts: 0 below 16 grams, 1 below 64, and so on."""
+    return np.floor(np.log2(np.maximum(n // 4, 1)) + 1e-9).astype(np.int64) // 2
+
+
+def shares(sets: list[np.ndarray], k: int, t: float, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(set, gram, bits, size, place) of the prefix grams of every share of the sets in the 4**k parts; hot: grams, sorted, that come last, by rank."""
+    flat = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    part = (flat & _U((1 << 2 * k) - 1)).astype(np.int64)
+    late = np.zeros(len(flat), np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
+        late = np.where(hot[at] == flat, rank[at], 0)
+    o = np.lexsort((late, part, of))  # stable, so by gram within
+    flat, of, part = flat[o], of[o], part[o]
+    first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (of[1:] != of[:-1])]))
+    size = np.diff(np.concatenate([first, [len(flat)]]))
+    bits = np.bitwise_xor.reduceat(np.left_shift(_U(1), K.mix(flat) >> _U(58)), first)
+    place = np.arange(len(flat)) - np.repeat(first, size)
+    on = place < np.repeat(prefix_length(size, t), size)
+    return of[on], flat[on], np.repeat(bits, size)[on], np.repeat(size, size)[on], place[on]
 
 
 # == the trie
 
 
 class Level(NamedTuple):
-    """Nodes of one depth: the gram on the edge, the run [lo, hi) of sets below, their sizes, how many end here, and the run of children."""
+    """Nodes of one depth: the gram on the edge, the run [lo, hi) of sets below, their least and greatest sizes, the most grams of one, how many end here, and the run of children."""
 
     token: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
     least: np.ndarray
     most: np.ndarray
+    longest: np.ndarray
     ended: np.ndarray
     kids: np.ndarray
     n_kids: np.ndarray
@@ -128,15 +133,15 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def build_trie(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[Level]:
-    """Levels of the trie of sets that are in lexicographic order; a node with a single set below isn't split further."""
+def build_trie(flat: np.ndarray, start: np.ndarray, length: np.ndarray, size: np.ndarray, kind: np.ndarray) -> list[Level]:
+    """Levels of the trie of sets that are in lexicographic order; a node with sets of one kind below, which are equal, isn't split further."""
     levels: list[Level] = []
-    lo, hi, parent = np.array([0]), np.array([len(size)]), np.array([-1])
+    lo, hi, parent = np.array([0]), np.array([len(length)]), np.array([-1])
     while len(lo):
         depth = len(levels)
         row = _spread(lo, hi - lo)
         of = np.repeat(np.arange(len(lo)), hi - lo)
-        on = size[row] > depth
+        on = length[row] > depth
         row, of = row[on], of[on]
         if not len(row):
             break
@@ -145,13 +150,13 @@ def build_trie(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[Le
         new[1:] = (of[1:] != of[:-1]) | (token[1:] != token[:-1])
         first = np.flatnonzero(new)
         n = np.diff(np.concatenate([first, [len(row)]]))
-        level = Level(token[first], row[first], row[first] + n, np.minimum.reduceat(size[row], first), np.maximum.reduceat(size[row], first), np.add.reduceat((size[row] == depth + 1).astype(np.int64), first), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64))
+        level = Level(token[first], row[first], row[first] + n, np.minimum.reduceat(size[row], first), np.maximum.reduceat(size[row], first), np.maximum.reduceat(length[row], first), np.add.reduceat((length[row] == depth + 1).astype(np.int64), first), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64))
         if levels:
             up = parent[of[first]]
             u, at, count = np.unique(up, return_index=True, return_counts=True)
             levels[-1].kids[u], levels[-1].n_kids[u] = at, count
         levels.append(level)
-        parent = np.flatnonzero(n > 1)
+        parent = np.flatnonzero(kind[level.lo] != kind[level.hi - 1])
         lo, hi = level.lo[parent], level.hi[parent]
     return levels
 
@@ -161,51 +166,119 @@ def required(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * (a + b) / (1 + t) - 1e-9)
 
 
+def shared_grams(flat: np.ndarray, of: np.ndarray, size: np.ndarray, t: float) -> np.ndarray:
+    """Which grams can count: those in two sets at least, of the sets that have enough of them; the rest is taken off until nothing changes."""
+    on = np.ones(len(flat), bool)
+    while True:
+        count = np.bincount(flat[on], minlength=int(flat.max()) + 1)
+        left = on & (count[flat] > 1)
+        left &= (np.bincount(of[left], minlength=len(size)) >= np.ceil(t * size - 1e-9))[of]
+        if (left == on).all():
+            return on
+        on = left
+
+
+def bitmaps(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each set and bit whether an odd number of the set's grams hash to it; two sets differ in at least as many grams as bits."""
+    bits = 1 << int(np.clip(np.ceil(np.log2(2 * length.mean())), 6, 15))
+    out = []
+    for a, n in zip(start.tolist(), length.tolist()):
+        odd = np.bincount((K.mix(flat[a : a + n].astype(_U)) % _U(bits)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(_U))
+    return np.stack(out)
+
+
+def _bitmaps_allow(bits: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether the sets x and y may have that many grams in common."""
+    ok, size = np.empty(len(x), bool), max(1, (1 << 21) // bits.shape[1])
+    for a in range(0, len(x), size):
+        r, w = x[a : a + size], y[a : a + size]
+        ok[a : a + size] = np.bitwise_count(bits[r] ^ bits[w]).sum(1, dtype=np.int64) <= length[r] + length[w] - 2 * need[a : a + size]
+    return ok
+
+
 def trie_join(sets: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, overlap) of all pairs i < j of sorted sets with Jaccard similarity of at least t, each set being a query against the trie of all."""
+    """(i, j, overlap) of all pairs i < j of sorted sets with Jaccard similarity of at least t, each set being a query against the trie of all.
+
+    Grams that no other set has aren't stored; they count in the sizes.
+    """
     none = np.zeros(0, np.int64)
-    m = len(sets)
-    if m < 2:
-        return none, none, none
     size = np.array([len(s) for s in sets], np.int64)
-    universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    flat = flat.astype(np.int64)
-    start = np.cumsum(size) - size
+    if len(sets) < 2 or not size.sum():
+        return none, none, none
+    flat, of = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int64), np.repeat(np.arange(len(sets)), size)
+    on = shared_grams(flat, of, size, t)
+    kept, of = np.unique(of[on], return_inverse=True)
+    if len(kept) < 2:
+        return none, none, none
+    universe, flat = np.unique(flat[on], return_inverse=True)
+    # one order for all: rarest first, so that sets that differ part early
+    count = np.bincount(flat)
+    turn = np.empty(len(universe), np.int64)
+    turn[np.argsort(count, kind="stable")] = np.arange(len(universe))
+    flat = turn[flat]
+    flat = flat[np.lexsort((flat, of))]
+    size, length = size[kept], np.bincount(of)
+    m = len(kept)
+    start = np.cumsum(length) - length
     big = flat.astype(">u4")
-    order = np.array(sorted(range(m), key=lambda i: big[start[i] : start[i] + size[i]].tobytes()))
-    start, size = start[order], size[order]
-    levels = build_trie(flat, start, size)
+    name = [big[a : a + n].tobytes() for a, n in zip(start.tolist(), length.tolist())]
+    order = np.array(sorted(range(m), key=name.__getitem__))
+    kind = np.cumsum([0, *(name[i] != name[j] for i, j in zip(order[:-1], order[1:]))])
+    start, size, length = start[order], size[order], length[order]
+    levels = build_trie(flat, start, length, size, kind)
+    bits = bitmaps(flat, start, length)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    block = max(1, (1 << 22) // max(1, len(universe)))
+    roots = len(levels[0].token)
+    # a table of all grams where it is small, else a search among the sets' grams
+    dense = len(universe) <= 1 << 16
+    block = max(1, min((1 << 22) // len(universe) if dense else m, (1 << 22) // roots))
+    place = np.repeat(np.arange(m), length)
+    at_flat = _spread(start, length)
+    within, begin = place * len(universe) + flat[at_flat], np.cumsum(length) - length
     for at in range(0, m, block):
         rows = np.arange(at, min(m, at + block))
-        member = np.zeros((len(rows), len(universe)), bool)
-        member[np.repeat(rows - at, size[rows]), flat[_spread(start[rows], size[rows])]] = True
-        passed = np.cumsum(member, axis=1, dtype=np.int32)
-        roots = len(levels[0].token)
+        if dense:
+            member = np.zeros((len(rows), len(universe)), bool)
+            member[np.repeat(rows - at, length[rows]), flat[_spread(start[rows], length[rows])]] = True
+            passed = np.cumsum(member, axis=1, dtype=np.int32)
+
+        def has(q: np.ndarray, token: np.ndarray) -> np.ndarray:
+            if dense:
+                return member[q - at, token]
+            wanted = q * len(universe) + token
+            return within[np.minimum(np.searchsorted(within, wanted), len(within) - 1)] == wanted
+
+        def up_to(q: np.ndarray, token: np.ndarray) -> np.ndarray:
+            return passed[q - at, token] if dense else np.searchsorted(within, q * len(universe) + token, "right") - begin[q]
+
         q, v, o = np.repeat(rows, roots), np.tile(np.arange(roots), len(rows)), np.zeros(len(rows) * roots, np.int64)
         for depth, level in enumerate(levels):
             if not len(q):
                 break
             token = level.token[v]
-            o = o + member[q - at, token]
-            left = np.minimum(size[q] - passed[q - at, token], level.most[v] - depth - 1)
+            o = o + has(q, token)
+            left = np.minimum(length[q] - up_to(q, token), level.longest[v] - depth - 1)
             # sizes outside [t * |q|, |q| / t] can't match; of the others, the least size asks for the least overlap
             fits = np.maximum(level.least[v], t * size[q])
             go = (o + left >= required(fits, size[q], t)) & (level.most[v] >= t * size[q] - 1e-9) & (level.least[v] * t <= size[q] + 1e-9) & (level.hi[v] > q + 1)
             q, v, o = q[go], v[go], o[go]
-            alone = level.hi[v] - level.lo[v] == 1
-            ends = np.where(alone, 1, level.ended[v])
+            alone = kind[level.lo[v]] == kind[level.hi[v] - 1]
+            ends = np.where(alone, level.hi[v] - level.lo[v], level.ended[v])
             other, query = _spread(level.lo[v], ends), np.repeat(q, ends)
             got = np.repeat(o, ends)
             later = other > query
             other, query, got = other[later], query[later], got[later]
-            for b in range(0, len(other), 1 << 14):
-                r, w, g = other[b : b + (1 << 14)], query[b : b + (1 << 14)], got[b : b + (1 << 14)]
-                tail = size[r] - depth - 1
+            fits = _bitmaps_allow(bits, other, query, length, required(size[other], size[query], t))
+            other, query, got = other[fits], query[fits], got[fits]
+            tail = length[other] - depth - 1
+            total, b = np.cumsum(tail + 1), 0
+            while b < len(other):
+                to = max(int(np.searchsorted(total, (total[b - 1] if b else 0) + (1 << 21), "right")), b + 1)
+                r, w, g, rest, b = other[b:to], query[b:to], got[b:to], tail[b:to], to
                 # in order of set and query; reduceat needs runs that aren't empty, hence the leading element, taken off again
-                hit = member[np.repeat(w - at, tail + 1), flat[_spread(start[r] + depth, tail + 1)]]
-                run = np.cumsum(tail + 1) - (tail + 1)
+                hit = has(np.repeat(w, rest + 1), flat[_spread(start[r] + depth, rest + 1)])
+                run = np.cumsum(rest + 1) - (rest + 1)
                 g = g + np.add.reduceat(hit.astype(np.int64), run) - hit[run]
                 yes = g >= required(size[r], size[w], t)
                 found.append((w[yes], r[yes], g[yes]))
@@ -214,244 +287,300 @@ def trie_join(sets: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray,
             q, o, v = np.repeat(q, kids), np.repeat(o, kids), _spread(level.kids[v], kids)
     if not found:
         return none, none, none
-    a, b, o = (order[np.concatenate([f[0] for f in found])], order[np.concatenate([f[1] for f in found])], np.concatenate([f[2] for f in found]))
+    a, b, o = (kept[order[np.concatenate([f[0] for f in found])]], kept[order[np.concatenate([f[1] for f in found])]], np.concatenate([f[2] for f in found]))
     return np.minimum(a, b), np.maximum(a, b), o
 
 
-def prefix_join(sets: list[np.ndarray], t: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """As trie_join(), by comparing the pairs that share a gram of their prefixes, rarest grams first; None if that is over ``most`` grams to compare."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    flat, start, of = flat.astype(np.int64), np.cumsum(size) - size, np.repeat(np.arange(m), size)
-    o = np.lexsort((flat, np.bincount(flat)[flat], of))
-    on = o[np.arange(len(o)) - start[of] < prefix_length(size, t)[of]]
-    on = on[np.lexsort((of[on], flat[on]))]
-    token, member = flat[on], of[on]
-    last = np.searchsorted(token, token, "right")
-    later = last - np.arange(len(token)) - 1
-    if float((later * size[member]).sum()) > most:
-        return None
-    within = of * len(universe) + flat
-    o = np.argsort(member, kind="stable")
-    total, at = np.cumsum(later[o]), 0
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    while at < len(o):
-        # whole sets, so that no pair comes up in two blocks
-        to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")), at + 1)
-        to = int(np.searchsorted(member[o], member[o[to - 1]], "right"))
-        e, at = o[at:to], to
-        pair = np.unique(np.repeat(member[e], later[e]) * m + member[_spread(e + 1, later[e])])
-        a, b = pair // m, pair % m
-        fits = np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9
-        a, b = a[fits], b[fits]
-        for k in range(0, len(a), 1 << 13):
-            x, y = a[k : k + (1 << 13)], b[k : k + (1 << 13)]
-            wanted = np.repeat(y, size[x]) * len(universe) + flat[_spread(start[x], size[x])]
-            hit = within[np.minimum(np.searchsorted(within, wanted), len(within) - 1)] == wanted
-            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[x]) - size[x])
-            yes = common >= required(size[x], size[y], t)
-            found.append((x[yes], y[yes], common[yes]))
-    none = np.zeros(0, np.int64)
-    return tuple(np.concatenate([none, *(f[c] for f in found)]) for c in range(3))
-
-
-def join_component(sets: list[np.ndarray], t: float) -> list[tuple[int, int, float]]:
-    """All similar pairs of a component; the prefixes are used where that is less work than the trie, with the same result."""
-    m = len(sets)
-    got = prefix_join(sets, t, m * (m - 1)) if m > 2 else None
-    a, b, o = trie_join(sets, t) if got is None else got
-    return sorted((int(i), int(j), float(c) / (len(sets[i]) + len(sets[j]) - int(c))) for i, j, c in zip(a, b, o))
-
-
 # == on Spark
 
 
-_SETS = "doc_id long, set_id long, keys array<long>, short array<long>"
+def _keys(base: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, bytes) of the documents that have words."""
 
+    def f(part: pa.RecordBatch) -> pa.RecordBatch:
+        a, b, size = text_keys(K.words(part.column(1)), part.num_rows)
+        on = pa.array(size > 0)
+        return pa.RecordBatch.from_arrays([x.filter(on) for x in (part.column(0), pa.array(a), pa.array(b), pc.binary_length(part.column(1)).cast(pa.int64()))], names=["doc_id", "k1", "k2", "bytes"])
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+    return K.map_steps(base, f, "doc_id long, k1 long, k2 long, bytes long")
 
 
-def _sets(base: DataFrame, n: int, t: float) -> DataFrame:
-    """(doc_id, set_id, keys, short) of the documents that have words: the subtrees of a set of more than SMALL grams, and all grams of one that can be similar to a smaller one."""
-    limit, none = short_limit(t), np.zeros(0, np.int64)
+def _common_grams(base: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams common in a sample of the documents, sorted, and their ranks by number."""
+    some = base.where(F.expr(f"pmod(xxhash64(doc_id), {HOT_EVERY}) = 0"))
 
     def f(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = gram_sets(part.column(1), n)
-        on = np.array([len(s) > 0 for s in sets], bool)
-        sets = [s for s in sets if len(s)]
-        keys = _lists([subtrees(s) if len(s) > SMALL else none for s in sets])
-        short = _lists([s.view(np.int64) if len(s) <= limit else none for s in sets])
-        return pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on)), pa.array([set_key(s) for s in sets], pa.int64()), keys, short], names=["doc_id", "set_id", "keys", "short"])
-
-    return K.map_steps(base, f, _SETS)
-
-
-def _lead(t: pa.Table) -> pa.RecordBatch:
-    """Of the rows of each set, keys and grams stay only with the least document; repeated rows go."""
-    doc, sid = K.column(t, "doc_id"), K.column(t, "set_id")
-    o = np.lexsort((doc, sid))
-    doc, sid = doc[o], sid[o]
-    new_set = np.concatenate([[True], sid[1:] != sid[:-1]])
-    new = new_set | np.concatenate([[True], doc[1:] != doc[:-1]])
-    lists = []
-    for name in ("keys", "short"):
-        of = t.column(name).combine_chunks().take(pa.array(o[new]))
-        lists.append(pc.if_else(pa.array(new_set[new]), of, pa.scalar(None, of.type)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(sid[new]), *lists], names=["doc_id", "set_id", "keys", "short"])
-
-
-def _common_grams(short: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, count) of grams common in a sample of short sets, by gram."""
-    some = short.where(F.expr(f"pmod(set_id, {HOT_EVERY}) = 0")).select(F.explode("short").alias("gram"))
-    top = some.groupBy("gram").count().where(F.col("count") >= HOT_LEAST).orderBy(F.desc("count"), "gram").limit(HOT_MOST).toArrow()
-    gram, count = K.column(top, "gram").view(_U), K.column(top, "count")
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, _U), *gram_sets(part.column(1), n)]).view(np.int64))], names=["gram"])
+
+    top = K.map_steps(some, f, "gram long").groupBy("gram").count().where(F.col("count") >= HOT_LEAST).orderBy(F.desc("count"), "gram").limit(HOT_MOST).toArrow()
+    gram = K.column(top, "gram").view(_U)
     o = np.argsort(gram)
-    return gram[o], count[o]
+    return gram[o], (len(o) - np.arange(len(o)))[o]
 
 
-def _prefixes(short: DataFrame, t: float) -> DataFrame:
-    """(key, set_id, n, bits): a row for each gram of a short set's prefix, common grams last in the order."""
-    hot, count = _common_grams(short)
+def _send(n: int, t: float, hot: np.ndarray, rank: np.ndarray, routes: int):
+    """Blocks of prefix grams by route: 32 bits of the subtree's name, the bitmap, the share's size and the gram's place in it, and 48 bits of the text's key of each.
+
+    Texts that a task has sent already are not sent again.
+    """
+
+    def block(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, bits, size, place, label = (np.concatenate([r[c] for r in rows]) for c in range(5))
+        route = ((key >> _U(32)) * _U(routes) >> _U(32)).astype(np.int64)
+        o = np.argsort(route.astype(np.uint16) if routes <= 65536 else route, kind="stable")
+        route = route[o]
+        edge = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1], [True]]))
+        columns = [(key[o] & _U(0xFFFFFFFF)).astype("<u4"), bits[o].astype("<u8"), np.minimum(size[o], 255).astype(np.uint8), np.minimum(place[o], 255).astype(np.uint8), (label[o] & _U(0xFFFFFFFF)).astype("<u4"), (label[o] >> _U(32)).astype("<u2")]
+        data = [[c[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])] for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(route[edge[:-1]], pa.int32()), *(pa.array(d, pa.binary()) for d in data)], names=["route", "key", "bits", "n", "place", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        rows: list[tuple[np.ndarray, ...]] = []
         with np.errstate(over="ignore"):
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    part = batch.slice(at, 1000)
-                    lists = part.column(1)
-                    grams, size = lists.flatten().to_numpy(zero_copy_only=False).view(_U), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                    rank = np.zeros(len(grams), np.int64)
-                    if len(hot):
-                        place = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-                        rank = np.where(hot[place] == grams, count[place], 0)
-                    of, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
-                    o = np.lexsort((grams, rank, of))
-                    on = o[np.arange(len(o)) - first[of] < prefix_length(size, t)[of]]
-                    bits = pa.array([bitmap(grams[a : a + k]).tobytes() for a, k in zip(first, size)], pa.binary())
-                    row = pa.array(of[on])
-                    yield pa.RecordBatch.from_arrays([pa.array(grams[on].view(np.int64)), part.column(0).take(row), pa.array(size[of[on]].astype(np.int32)), bits.take(row)], names=["key", "set_id", "n", "bits"])
-
-    return short.mapInArrow(run, "key long, set_id long, n int, bits binary")
-
-
-def _meet_short(t: float):
-    """Edges between the sets that share a prefix gram and may be similar by size and bitmap."""
+                for part in K.steps(batch):
+                    w = K.words(part.column(1))
+                    label = text_keys(w, part.num_rows)[0].view(_U) & _LABEL
+                    sets = sets_of(w, part.num_rows, n)
+                    new = []
+                    for i, (s, x) in enumerate(zip(sets, label.tolist())):
+                        if len(s) and x not in sent:
+                            sent.add(x)
+                            new.append(i)
+                    if not new:
+                        continue
+                    at, size = np.array(new), np.array([len(sets[i]) for i in new])
+                    least, most = size_class(np.ceil(t * size - 1e-9).astype(np.int64)), size_class(size)
+                    for k in range(int(least.min()), int(most.max()) + 1):
+                        on = at[(least <= k) & (k <= most)]
+                        if len(on):
+                            of, gram, bits, share, place = shares([sets[i] for i in on], k, t, hot, rank)
+                            rows.append((K.mix(gram + _U((k + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)), bits, share, place, label[on][of]))
+                    if sum(len(r[0]) for r in rows) >= GATHER:
+                        yield block(rows)
+                        rows = []
+            if rows:
+                yield block(rows)
+
+    return run
+
 
+class Shares(NamedTuple):
+    """Shares that meet: subtree, bitmap, size and place of the subtree's gram, and the set."""
+
+    key: np.ndarray
+    bits: np.ndarray
+    size: np.ndarray
+    place: np.ndarray
+    label: np.ndarray
+
+    def take(self, at: np.ndarray) -> Shares:
+        return Shares(*(c[at] for c in self))
+
+
+def _may_match(s: Shares, x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
+    """Whether the shares x and y may be similar and have no common gram before this one; 255 stands for any greater size too."""
+    a, b = s.size[x], s.size[y]
+    need = required(a, b, t)
+    by_size = (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (np.minimum(a - s.place[x], b - s.place[y]) >= need)
+    return by_size & (np.bitwise_count(s.bits[x] ^ s.bits[y]) <= a + b - 2 * need) | (a >= 255) | (b >= 255)
+
+
+def meeting(s: Shares, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the sets whose shares meet in a subtree and may be similar; a pair that is connected otherwise needs no edge of its own."""
+    o = np.argsort(s.key, kind="stable")
+    twice = np.zeros(len(o), bool)
+    same = s.key[o][1:] == s.key[o][:-1]
+    twice[1:] |= same
+    twice[:-1] |= same
+    s = s.take(o[twice])
+    if not len(s.key):
+        return s.label, s.label
+    s = s.take(np.lexsort((s.bits, s.size, s.key)))
+    # shares that are alike are chained to the first of them, the variant
+    new = np.concatenate([[True], (s.key[1:] != s.key[:-1]) | (s.size[1:] != s.size[:-1]) | (s.bits[1:] != s.bits[:-1])])
+    first = np.flatnonzero(new)
+    us, vs = [s.label[~new]], [np.repeat(s.label[first], np.diff(np.concatenate([first, [len(new)]])))[~new]]
+    s = s._replace(place=np.minimum.reduceat(s.place, first)[np.cumsum(new) - 1]).take(first)
+    start = np.flatnonzero(np.concatenate([[True], s.key[1:] != s.key[:-1]]))
+    length = np.diff(np.concatenate([start, [len(s.key)]]))
+    for a, m in zip(start[length > RUN].tolist(), length[length > RUN].tolist()):
+        # by breadth: what is reached needs no more tests among itself
+        rest = np.arange(a, a + m)
+        while len(rest):
+            todo, rest = [int(rest[0])], rest[1:]
+            while todo and len(rest):
+                x = todo.pop()
+                hit = _may_match(s, x, rest, t)
+                got = rest[hit]
+                us.append(s.label[got])
+                vs.append(np.full(len(got), s.label[x]))
+                todo += got.tolist()
+                rest = rest[~hit]
+    later = np.where(np.repeat(length, length) <= RUN, np.repeat(start + length, length) - np.arange(len(s.key)) - 1, 0)
+    rows = np.flatnonzero(later)
+    total, at = np.cumsum(later[rows]), 0
+    while at < len(rows):
+        to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 19), "right")), at + 1)
+        r, at = rows[at:to], to
+        x, y = np.repeat(r, later[r]), _spread(r + 1, later[r])
+        ok = _may_match(s, x, y, t)
+        us.append(s.label[x[ok]])
+        vs.append(s.label[y[ok]])
+    return forest(np.concatenate(us), np.concatenate(vs))
+
+
+def _meet(t: float):
     def f(table: pa.Table) -> pa.RecordBatch:
-        key, sid, n = K.column(table, "key"), K.column(table, "set_id"), K.column(table, "n")
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), _U).reshape(-1, BITMAP)
-        o = np.lexsort((n, key))
-        key, sid, n, bits = key[o], sid[o], n[o], bits[o]
-        run = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
-        width = int(n.max() / t) + 2
-        # partners: the later ones of the run, up to the greatest size that fits
-        later = np.searchsorted(run * width + n, run * width + np.floor(n / t + 1e-9).astype(np.int64), "right") - np.arange(len(n)) - 1
-        rows = np.flatnonzero(later)
-        total, at, edges = np.cumsum(later[rows]), 0, np.zeros((0, 2), np.int64)
-        while at < len(rows):
-            to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 18), "right")), at + 1)
-            r, at = rows[at:to], to
-            x, y = np.repeat(r, later[r]), _spread(r + 1, later[r])
-            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-            ok = apart <= n[x] + n[y] - 2 * required(n[x], n[y], t)
-            x, y = sid[x[ok]], sid[y[ok]]
-            edges = np.unique(np.concatenate([edges, np.stack([np.maximum(x, y), np.minimum(x, y)], 1)]), axis=0) if len(x) else edges
-        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
+        key, bits, size, place, low, high = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("key", "<u4"), ("bits", "<u8"), ("n", np.uint8), ("place", np.uint8), ("low", "<u4"), ("high", "<u2")))
+        u, v = meeting(Shares(key, bits, size.astype(np.int64), place.astype(np.int64), low.astype(np.int64) | high.astype(np.int64) << 32), t)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return f
 
 
-def _meet(t: pa.Table) -> pa.RecordBatch:
-    """Edges from each set of a subtree to the subtree's least set."""
-    key, sid = K.column(t, "key"), K.column(t, "set_id")
-    o = np.lexsort((sid, key))
-    key, sid = key[o], sid[o]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    least = np.repeat(sid[first], np.diff(np.concatenate([first, [len(key)]])))
-    on = sid != least
-    e = np.unique(np.stack([sid[on], least[on]], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["u", "v"])
+def _joined(n: int, t: float, pairs: bool):
+    """The join of each group of rows (comp, i, j, node, block, copies, k1, k2, text), sorted by group and node.
 
+    For pairs: (a, b, jaccard).  Else (a, a, links) with the number of documents linked to
+    a set in this group, and edges (a, b, 0) that connect the similar sets.
+    """
 
-def _joined(n: int, t: float):
-    """Joins each component of rows that are sorted by component."""
-
-    def of(comp_sets: list[tuple[int, np.ndarray]], comp: int) -> tuple[list, list, list]:
-        ids = [i for i, _ in comp_sets]
-        pairs = join_component([s for _, s in comp_sets], t)
-        return [ids[a] for a, _, _ in pairs], [ids[b] for _, b, _ in pairs], [s for _, _, s in pairs]
+    def of(held: list[tuple[int, int, int, np.ndarray]], one: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        node, block, copies = (np.array([h[c] for h in held]) for c in range(3))
+        a, b, o = trie_join([h[3] for h in held], t)
+        if not one:
+            on = block[a] != block[b]
+            a, b, o = a[on], b[on], o[on]
+        size = np.array([len(h[3]) for h in held])
+        if pairs:
+            return node[a], node[b], o / (size[a] + size[b] - o)
+        links = np.bincount(np.concatenate([a, b]), np.concatenate([copies[b], copies[a]]), len(node)).astype(np.int64)
+        on = links > 0
+        u, v = forest(node[a], node[b])
+        return np.concatenate([node[on], u]), np.concatenate([node[on], v]), np.concatenate([links[on], np.zeros(len(u), np.int64)]).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            open_comp, held = None, []
-            a, b, s = [], [], []
+            group, held, out, rows = None, [], [], 0
+
+            def close() -> None:
+                nonlocal rows
+                if len(held) > 1:
+                    out.append(of(held, group[1] == group[2]))
+                    rows += len(out[-1][0])
+
+            def batch_of() -> pa.RecordBatch:
+                nonlocal out, rows
+                got = [np.concatenate([x[c] for x in out]) for c in range(3)]
+                out, rows = [], 0
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["a", "b", "w"])
+
             for batch in batches:
-                for part in K.steps(batch):
-                    for comp, sid, grams in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), gram_sets(part.column(1), n)):
-                        if comp != open_comp:
-                            for out, got in zip((a, b, s), of(held, open_comp) if len(held) > 1 else ((), (), ())):
-                                out.extend(got)
-                            open_comp, held = comp, []
-                        # a repeated id may bring another text along
-                        if len(grams) and set_key(grams) == sid and not (held and held[-1][0] == sid):
-                            held.append((sid, grams))
-                    if len(a) > 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "jaccard"])
-                        a, b, s = [], [], []
-            for out, got in zip((a, b, s), of(held, open_comp) if len(held) > 1 else ((), (), ())):
-                out.extend(got)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "jaccard"])
+                for part in K.steps(batch, 8):
+                    w = K.words(part.column(8))
+                    x, y, _ = text_keys(w, part.num_rows)
+                    # a repeated id may bring another text along
+                    right = (x == K.column(part, "k1")) & (y == K.column(part, "k2"))
+                    columns = [part.column(c).to_pylist() for c in range(6)]
+                    for comp, i, j, node, block, copies, ok, grams in zip(*columns, right.tolist(), sets_of(w, part.num_rows, n)):
+                        if (comp, i, j) != group:
+                            close()
+                            group, held = (comp, i, j), []
+                        if ok and not (held and held[-1][0] == node):
+                            held.append((node, block, copies, grams))
+                    if rows > 50_000:
+                        yield batch_of()
+            close()
+            if rows:
+                yield batch_of()
 
     return run
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """The join in its factored form: (doc_id, set_id) of each document, and (a, b, jaccard) of each similar pair of distinct sets; both checkpointed.
+class Texts(NamedTuple):
+    """The join in its factored form: (doc_id, k1, k2) of each document, (k1, k2, lead, copies) of each different text, and (node, lead, k1, k2, copies) of those texts that may have partners; all checkpointed, with the rows of the join."""
 
-    It is linear in groups of identical documents, however large they are.
-    """
+    docs: DataFrame
+    texts: DataFrame
+    nodes: DataFrame
+    joined: DataFrame
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, pairs: bool) -> Texts:
     base = K.ids_and_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    d = K.cut(K.map_partition(_sets(base, n, threshold).repartition("set_id"), _lead, _SETS))
-    lead = d.where(F.col("keys").isNotNull())
-    edges = K.map_partition(lead.select("set_id", F.explode("keys").alias("key")).repartition("key"), _meet, "u long, v long")
-    short = lead.where(F.size("short") > 0).select("set_id", "short")
-    edges = edges.unionByName(K.map_partition(_prefixes(short, threshold).repartition("key"), _meet_short(threshold), "u long, v long"))
-    comp = connected(edges)
-    wanted = K.cut(lead.select("doc_id", "set_id").join(comp.withColumnRenamed("node", "set_id"), "set_id").select("doc_id", "set_id", "comp"))
-    texts = base.join(K.small(wanted, wanted.count()), "doc_id").select("doc_id", "text", "comp", "set_id")
-    pairs = texts.repartition("comp").sortWithinPartitions("comp", "set_id").mapInArrow(_joined(n, threshold), "a long, b long, jaccard double")
-    return d.select("doc_id", "set_id"), K.cut(pairs)
+    every = K.cut(_keys(base))
+    d = every.groupBy("doc_id", "k1", "k2").agg(F.max("bytes").alias("bytes"))
+    texts = K.cut(d.groupBy("k1", "k2").agg(F.min("doc_id").alias("lead"), F.count("*").alias("copies"), F.max("bytes").alias("bytes")))
+    amount = texts.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    # about one prefix gram in 9 bytes of text, of 20 bytes each
+    routes = max(docs.sparkSession.sparkContext.defaultParallelism, int(2.2 * amount) // ROUTE_BYTES, 1)
+    hot, rank = _common_grams(base, n)
+    sent = base.mapInArrow(_send(n, t, hot, rank, routes), "route int, key binary, bits binary, n binary, place binary, low binary, high binary")
+    comp = connected(K.map_partition(sent.repartitionById(routes, F.col("route")), _meet(t), "u long, v long"))
+    may = texts.withColumn("label", F.col("k1").bitwiseAND(F.lit(int(_LABEL)))).join(comp.withColumnRenamed("node", "label"), "label")
+    nodes = K.cut(may.select("lead", "k1", "k2", "copies", "bytes", "comp", F.monotonically_increasing_id().alias("node")))
+    # a node for each text; those of a large component in blocks, each pair of which is a group
+    large = K.cut(nodes.groupBy("comp").agg(F.sum("bytes").alias("all")).where(F.col("all") > BLOCK_BYTES).select("comp", F.ceil(F.col("all") / BLOCK_BYTES).alias("blocks")))
+    wanted = nodes.join(K.small(large, large.count()), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    wanted = wanted.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumnRenamed("lead", "doc_id")
+    with_text = base.join(K.small(wanted, nodes.count()), "doc_id")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    groups = with_text.select("*", other).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies", "k1", "k2", "text")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(amount) // (4 * BLOCK_BYTES))
+    rows = groups.repartition(tasks, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").mapInArrow(_joined(n, t, pairs), "a long, b long, w double")
+    return Texts(d.select("doc_id", "k1", "k2"), texts, nodes, K.cut(rows))
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, lead) of each document, lead being the least id of those with the same words, and (left_id, right_id, jaccard) of each pair of leads of different but similar texts.
+
+    Rows as in ngram_jaccard_join().  The pairs of a group of many different similar
+    texts are by their nature quadratic in their number; its classes are not.
+    """
+    j = _join(docs, id_col, text_col, n, threshold, True)
+    a, b = (j.nodes.select(F.col("node").alias(x), F.col("lead").alias(y)) for x, y in (("a", "l"), ("b", "r")))
+    pairs = j.joined.join(a, "a").join(b, "b")
+    return _with_text(j.docs, j.texts).select("doc_id", "lead"), pairs.select(F.least("l", "r").alias("left_id"), F.greatest("l", "r").alias("right_id"), F.round("w", 6).alias("jaccard"))
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(left_id, right_id, jaccard) of all pairs of documents, left_id < right_id, whose n-gram sets have at least that similarity.
+def _with_text(d: DataFrame, texts: DataFrame) -> DataFrame:
+    """d with the columns of its texts; texts of very many documents go to them by broadcast, so that none of these joins has a hot key."""
+    often = texts.where(F.col("copies") > K.BROADCAST_ROWS)
+    many = often.count()
+    if not many:
+        return d.join(texts, ["k1", "k2"])
+    often = K.small(often, many)
+    rest = d.join(K.small(often.select("k1", "k2"), many), ["k1", "k2"], "left_anti").join(texts, ["k1", "k2"])
+    return d.join(often, ["k1", "k2"]).unionByName(rest)
+
 
-    Null ids, and null, empty or wordless texts, are in no pair.  Documents with
-    equal sets have similarity 1, repeated rows count once, and an id that occurs
-    with several texts can give a pair once for each.  Empty tables give no rows;
-    other columns are not read.
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links): a row for each document that has words.
+
+    links is the number of other documents whose n-gram sets have at least that Jaccard
+    similarity to its own; class_id is the least id of those it is linked to, directly or
+    over others, and its own.  Null ids, and null, empty or wordless texts, give no row;
+    repeated rows count once; an id that occurs with several texts gives a row for each,
+    as if they were different documents.  A tie with the threshold is similar.  Texts are
+    taken whole, however long.  Empty tables give no rows; other columns are not read.
     """
-    d, pairs = similar_sets(docs, id_col, text_col, n, threshold)
-    same = d.groupBy("set_id").count().where("count > 1").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("jaccard"))
-    every = pairs.unionByName(same)
-    left = d.select(F.col("doc_id").alias("x"), F.col("set_id").alias("a"))
-    right = d.select(F.col("doc_id").alias("y"), F.col("set_id").alias("b"))
-    both = every.join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y")))
-    return both.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), F.round("jaccard", 6).alias("jaccard"))
+    j = _join(docs, id_col, text_col, n, threshold, False)
+    links = j.joined.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("w").cast("long").alias("more"))
+    comp = connected(j.joined.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    nodes = j.nodes.drop("comp").join(links, "node").join(comp, "node")
+    least = nodes.groupBy("comp").agg(F.min("lead").alias("class_id"))
+    found = nodes.join(least, "comp").select("k1", "k2", "class_id", "more")
+    texts = j.texts.join(found, ["k1", "k2"], "left").select("k1", "k2", "copies", F.coalesce("class_id", "lead").alias("class_id"), (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return _with_text(j.docs, K.cut(texts)).select("doc_id", "class_id", "links")
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents whose group of similar documents (transitively) holds one of a lesser id.
+    """docs without the documents whose class (see ngram_jaccard_join) has one of a lesser id.
 
-    Null ids and wordless texts are in no group and stay; rows that share an id share its fate.
+    Null ids and wordless texts are in no class and stay; rows that share an id share its
+    fate; empty tables stay empty; all columns are kept.
     """
-    d, pairs = similar_sets(docs, id_col, text_col, n, threshold)
-    comp = connected(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("set_id"), "comp")
-    group = d.join(comp, "set_id", "left").select("doc_id", F.coalesce("comp", "set_id").alias("g"))
-    keeper = group.groupBy("g").agg(F.min("doc_id").alias("keeper"))
-    dropped = K.cut(group.join(keeper, "g").where("doc_id <> keeper").select(F.col("doc_id").alias(id_col)).distinct())
+    dropped = K.cut(ngram_jaccard_join(docs, id_col, text_col, n, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct())
     return docs.join(K.small(dropped, dropped.count()), id_col, "left_anti").select(*docs.columns)

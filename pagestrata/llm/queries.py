@@ -63,13 +63,17 @@ def queries() -> dict[str, Query]:
 
 
 _JOIN = f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_RE2}') AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_RE2}') AS w FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {ngram_join.N} THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - {ngram_join.N} + 2), lambda i: array_to_string(w[i:i + {ngram_join.N - 1}], ' ')) END) AS gram FROM d WHERE len(w) > 0),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
-SELECT l AS left_id, r AS right_id, round(c / (x.n + y.n - c), 6) AS jaccard
-FROM o JOIN s x ON x.doc_id = l JOIN s y ON y.doc_id = r WHERE c >= ceil({ngram_join.THRESHOLD} * (x.n + y.n) / {1 + ngram_join.THRESHOLD} - 1e-9)
+o AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+p AS MATERIALIZED (SELECT l, r FROM o JOIN s x ON x.doc_id = l JOIN s y ON y.doc_id = r WHERE c >= ceil({ngram_join.THRESHOLD} * (x.n + y.n) / {1 + ngram_join.THRESHOLD} - 1e-9)),
+e AS MATERIALIZED (SELECT l AS a, r AS b FROM p UNION ALL SELECT r, l FROM p),
+reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+k AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+n AS (SELECT a AS doc_id, count(*) AS links FROM e GROUP BY a)
+SELECT doc_id, class_id, coalesce(links, 0) AS links FROM k LEFT JOIN n USING (doc_id)
 """
 
 _LEAKS = f"""

@@ -205,6 +205,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast only where its counted rows are few."""
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

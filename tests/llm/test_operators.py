@@ -52,7 +52,7 @@ def docs(spark):
 
     d = spark.createDataFrame(AWKWARD, DOCS)
     # names that the operators use themselves
-    return d.withColumns({c: F.lit(9) for c in ("set_id", "keys", "comp", "key", "u", "v", "masked", "tokens", "route", "step", "confidence", "y")})
+    return d.withColumns({c: F.lit(9) for c in ("set_id", "keys", "comp", "key", "u", "v", "masked", "block", "blocks", "bytes", "copies", "lead", "k1", "label", "tokens", "route", "step", "confidence", "y")})
 
 
 @pytest.fixture(scope="module")
@@ -76,16 +76,32 @@ def test_words_and_windows():
     assert textkit.word_hash("clown") == int(textkit.words(pa.array(["a CLOWN b"])).hash[1])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [None, 0, 5])
+def test_components(spark, monkeypatch, hot):
+    if hot is not None:
+        monkeypatch.setattr(components, "ONE_TASK", 0)
+        monkeypatch.setattr(components, "HOT_EDGES", hot)
     edges = [(1, 2), (2, 3), (5, 5), (7, 8), (8, 7), (20, 10), (30, 20), (10, 3)]
     got = {r.node: r.comp for r in components.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 10: 1, 20: 1, 30: 1, 7: 7, 8: 7}
-    chain = [(i, i + 1) for i in range(60)]
-    got = {r.node: r.comp for r in components.connected(spark.createDataFrame(chain, "u long, v long")).collect()}
-    assert got == {i: 0 for i in range(61)}
+    more = [(i, i + 1) for i in range(14)] + [(100, i) for i in range(101, 140)] + [(141, i) for i in range(120, 141)]
+    got = {r.node: r.comp for r in components.connected(spark.createDataFrame(more, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(15)} | {i: 100 for i in range(100, 142)}
     assert components.connected(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_forest():
+    r = np.random.default_rng(1)
+    for _ in range(100):
+        u, v = r.integers(0, 30, (2, r.integers(0, 40)))
+        of = {int(x): int(x) for x in np.concatenate([u, v])}
+        for _ in of:
+            for a, b in zip(u.tolist(), v.tolist()):
+                of[a] = of[b] = min(of[a], of[b])
+        a, b = components.forest(u, v)
+        assert {int(x): int(y) for x, y in zip(a, b)} == {x: y for x, y in of.items() if x != y}
+
+
 # -- 1
 
 
@@ -138,56 +154,106 @@ def edited(t, share, seed):
     return " ".join(f"new{r.randrange(10**9)}" if r.random() < share else w for w in t.split())
 
 
-def test_ngram_join_against_brute_force(spark):
+def brute_classes(rows):
+    """{(doc_id, words)}: (class, links), every text of an id being a document."""
+    texts = sorted({(r[0], tuple(words(r[1]))) for r in rows if r[0] is not None and words(r[1])})
+    numbered = [(k, " ".join(w)) for k, (_, w) in enumerate(texts)]
+    of, links = list(range(len(texts))), [0] * len(texts)
+    pairs = brute_pairs(numbered)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    for _ in texts:
+        before = list(of)
+        for a, b in pairs:
+            of[a] = of[b] = min(of[a], of[b])
+        if of == before:
+            break
+    return sorted((i, texts[c][0], n) for (i, _), c, n in zip(texts, of, links))
+
+
+def classes(spark, rows):
+    return sorted(map(tuple, ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+
+
+def pairs_of(spark, rows):
+    return {(r.left_id, r.right_id): r.jaccard for r in ngram_join.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()}
+
+
+def leads_of(rows):
+    leads = {}
+    for i, t in sorted(rows):
+        leads.setdefault(tuple(words(t)), (i, t))
+    return list(leads.values())
+
+
+def near_rows():
     rows = [(i, text(r, 3000, i)) for i, r in enumerate([3, 5, 9, 14, 40, 150, 400, 2000])]
-    rows += [(100 * (k + 1) + i, edited(t, share, 7 * k + i)) for i, t in rows for k, share in enumerate([0.0, 0.02, 0.04, 0.06, 0.08])]
-    rows += [(1000 + i, "hot passage of some words " + text(20, 3000, 500 + i)) for i in range(60)]
-    want = brute_pairs(rows)
-    got = {(r.left_id, r.right_id): r.jaccard for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(want[p] == s for p, s in got.items())
-    assert len(got) >= 0.95 * len(want) and all(p in got for p, s in want.items() if s >= 0.7)
+    rows += [(100 * (k + 1) + i, edited(t, share, 7 * k + i)) for i, t in rows for k, share in enumerate([0.0, 0.02, 0.04, 0.06, 0.08, 0.11])]
+    return rows + [(1000 + i, "hot passage of some words " + text(20, 3000, 500 + i)) for i in range(60)]
 
 
-def test_ngram_join_edges(spark, docs, nothing):
-    got = {(r.left_id, r.right_id): r.jaccard for r in ngram_join.ngram_jaccard_join(docs).collect()}
-    assert got == brute_pairs(AWKWARD) and (1, 2) in got and (8, 9) in got
-    assert ngram_join.ngram_jaccard_join(nothing).count() == 0
-    kept = ngram_join.keep_one_of_each_group(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 10, 11, 12, 13]
-    assert ngram_join.keep_one_of_each_group(nothing).count() == 0
+def test_ngram_join_against_brute_force(spark):
+    rows = near_rows()
+    assert classes(spark, rows) == brute_classes(rows)
+    assert pairs_of(spark, rows) == brute_pairs(leads_of(rows))
 
 
-def test_short_sets_are_joined_exactly(spark):
-    """Near copies of 15 to 180 words, also of unequal length, at similarities down to the threshold."""
+def test_ngram_join_is_the_same_on_every_plan(spark, monkeypatch):
+    """Large components in blocks, no broadcasts, hot texts and edges, long runs of a subtree: other plans, equal rows."""
+    rows = near_rows() + [(5000 + i, text(30, 3000, 77)) for i in range(20)]
+    want = brute_classes(rows)
+    for module, name, value in ((ngram_join, "BLOCK_BYTES", 300), (ngram_join, "RUN", 1), (ngram_join, "HOT_LEAST", 1), (ngram_join, "GATHER", 100), (ngram_join, "ROUTE_BYTES", 5000), (textkit, "BROADCAST_ROWS", 4), (components, "ONE_TASK", 0), (components, "HOT_EDGES", 3)):
+        monkeypatch.setattr(module, name, value)
+    assert classes(spark, rows) == want
+    monkeypatch.setattr(textkit, "BROADCAST_ROWS", 0)
+    assert classes(spark, rows) == want
+
+
+def test_ngram_join_of_every_size(spark):
+    """Pairs of 3 to 200 words, also of unequal length, at similarities down to the threshold; alone, and with the rows of the test above."""
     rows = []
-    for i in range(400):
+    for i in range(700):
         r = random.Random(1000 + i)
-        n = r.choice([10, 14, 18, 24, 32, 45, 62, 80, 102])
+        n = r.choice([*range(3, 62, 2), 80, 102, 140, 200])
         w = text(n, 5000, 2000 + i).split()
-        copy = w + text(int((n - 2) * r.uniform(0.6, 0.85)), 5000, 9000 + i).split() if i % 2 else edited(" ".join(w), r.uniform(0.05, 0.12), i).split()
+        copy = w + text(max(1, int((n - 2) * r.uniform(0.5, 0.9))), 5000, 9000 + i).split() if i % 2 else edited(" ".join(w), r.uniform(0.04, 0.13), i).split()
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(copy))]
     rows += [(5000 + i, "this one passage is in many short documents of the table " + text(r, 5000, 7000 + i)) for i, r in enumerate([6, 9, 14, 30, 60] * 20)]
-    want = brute_pairs(rows)
-    assert len(want) > 250 and sum(s < 0.63 for s in want.values()) > 80
-    got = {(r.left_id, r.right_id): r.jaccard for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
+    want = brute_pairs(leads_of(rows))
+    assert len(want) > 350 and sum(s < 0.63 for s in want.values()) > 120
+    assert pairs_of(spark, rows) == want
+    more = [(10_000 + i, t) for i, t in near_rows() if i not in (100, 101, 102, 103, 104, 105, 106, 107)]
+    got = pairs_of(spark, rows + more)
+    assert {p: s for p, s in got.items() if p[1] < 10_000} == want
+
+
+def test_ngram_join_edges(spark, docs, nothing):
+    got = sorted(map(tuple, ngram_join.ngram_jaccard_join(docs).collect()))
+    assert got == brute_classes(AWKWARD) and {(1, 1, 2), (2, 1, 2), (9, 8, 1), (11, 11, 0)} <= set(got)
+    twice = [(1, BASE), (1, text(30, 900, 8)), (2, NEAR), (2, NEAR), (3, text(30, 900, 8))]
+    assert classes(spark, twice) == brute_classes(twice) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    assert ngram_join.ngram_jaccard_join(nothing).count() == 0
+    kept = ngram_join.keep_one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 10, 11, 12, 13]
+    assert ngram_join.keep_one_of_each_group(nothing).count() == 0
 
 
-def test_components_are_joined_exactly():
-    """A large sparse component: a chain of long sets, of which each is barely similar to its neighbours; and a dense one."""
+def test_large_components_are_joined_exactly():
+    """A chain of long sets, of which each is barely similar to its neighbours; dense ones; and equal ones."""
     r = np.random.default_rng(9)
     grams = np.unique(r.integers(0, (1 << 64) - 1, 50_000, dtype=np.uint64))
     r.shuffle(grams)
-    for step, width, m in ((36, 130, 250), (3, 130, 60), (100, 130, 40)):
+    for step, width, m in ((36, 130, 250), (3, 130, 60), (100, 130, 40), (0, 50, 30)):
         sets = [np.sort(grams[k * step : k * step + width]) for k in range(m)]
         want = {}
         for i in range(m):
             for j in range(i + 1, m):
                 o = len(np.intersect1d(sets[i], sets[j]))
                 if o >= ngram_join.required(np.array(width), np.array(width), 0.55):
-                    want[i, j] = o / (2 * width - o)
-        assert {(i, j): s for i, j, s in ngram_join.join_component(sets, 0.55)} == want
+                    want[i, j] = o
+        assert {(int(i), int(j)): int(o) for i, j, o in zip(*ngram_join.trie_join(sets, 0.55))} == want
 
 
 # -- 3
