@@ -46,7 +46,7 @@ def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.dictionary())
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -449,14 +449,58 @@ def test_repeated_passages_edges(docs, nothing):
 # -- 8
 
 
-def brute_guesses(s):
+def brute_cost(s, i, j, words):
+    """The least cost of s[i:j] as one word, date, repeat or keyboard walk, by the definitions alone."""
+    from math import inf, log10
+
+    t, low = s[i:j], s[i:j].lower()
+    upper, n, out = 0.0 if t == low else 0.6, j - i, inf
+    leet = "".join(dict(zip("4@301!5$7", "aaeoiisst")).get(c, c) for c in low)
+    if n >= 3:
+        out = min([out] + [log10(words[w]) + e + upper for w, e in ((low, 0.0), (leet, 0.6)) if w in words])
+    full = r"(19|20)\d\d[-/._]?(0[1-9]|1[0-2])[-/._]?(0[1-9]|[12]\d|3[01])|(0[1-9]|[12]\d|3[01])[-/._]?(0[1-9]|1[0-2])[-/._]?(19|20)\d\d"
+    longest = max((k for k in range(i, len(s) + 1) if re.fullmatch(full + r"|(19|20)\d\d", s[i:k])), default=0)
+    if j == longest or n == 4 and re.fullmatch(r"(19|20)\d\d", t) and longest == j:
+        out = min(out, log10(365 * 150) if n > 4 else log10(150))
+    for size in range(1, n // 2 + 1):
+        if n >= 3 and n % size == 0 and t == t[:size] * (n // size):
+            kinds = [bool(re.search(k, t[:size])) for k in ("[0-9]", "[a-z]", "[A-Z]", "[^0-9a-zA-Z]")]
+            a = 10 if re.fullmatch("[0-9]+", t[:size]) else 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t[:size]) else sum(k * w for k, w in zip(kinds, (10, 26, 26, 33)))
+            out = min(out, size * log10(a) + log10(n // size))
+    return out
+
+
+def walks(s):
+    """Maximal runs of neighbouring keys or characters."""
+    from math import log10
+
+    rows, low, out = ["`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"], s.lower(), {}
+    key = {c: (r, k) for r, row in enumerate(rows) for k, c in enumerate(row)}
+
+    def near(a, b):
+        if b.isalnum() and abs(ord(a) - ord(b)) == 1:
+            return True
+        if a not in key or b not in key:
+            return False
+        (r, k), (q, m) = key[a], key[b]
+        return (q - r, m - k) in {(0, -1), (0, 1), (1, -1), (1, 0), (-1, 0), (-1, 1)}
+
+    i = 0
+    while i < len(s) - 2:
+        j = i + 1
+        while j < len(s) and near(low[j - 1], low[j]):
+            j += 1
+        if j - i >= 3:
+            out[i, j] = log10(47 * (j - i)) + 0.3 * (j - i)
+        i = max(i + 1, j - 1)
+    return out
+
+
+def brute_guesses(s, words=secrets.RANK):
     from functools import lru_cache
     from math import inf, log10
 
-    spans = {}
-    for i, j, c in secrets._spans(s):
-        spans[(i, j)] = min(c, spans.get((i, j), inf))
-    per, seg = log10(secrets._alphabet(s)), log10(2)
+    by_walk, per, seg = walks(s), log10(secrets._alphabet(s)), log10(2)
 
     @lru_cache(None)
     def best(at, after_brute):
@@ -466,19 +510,41 @@ def brute_guesses(s):
         for j in range(at + 1, len(s) + 1):
             if not after_brute:
                 out = min(out, seg + per * (j - at) + best(j, True))
-            if (at, j) in spans:
-                out = min(out, seg + spans[(at, j)] + best(j, False))
+            cost = min(brute_cost(s, at, j, words), by_walk.get((at, j), inf))
+            if cost < inf:
+                out = min(out, seg + cost + best(j, False))
         return out
 
     return round(best(0, False), 6)
 
 
 def test_guess_cost_is_the_least_over_all_segmentations():
-    cases = ["password", "Passw0rd2024", "qwerty12345", "aaaa", "abcabcabc", "x7!Kq9", "admin1999-12-31", "changeme", "zzz", "a", "P@55w0rd"]
+    cases = ["password", "Passw0rd2024", "qwerty12345", "aaaa", "abcabcabc", "x7!Kq9", "admin1999-12-31", "changeme", "zzz", "a", "P@55w0rd", "01012024", "k3vQ9xR7mT2bW8zLpk3vQ9xR7mT2bW8zLp", "abababababababababababab1abababababababababababab1"]
     cases += ["".join(rnd.choice("ab1qw2") for _ in range(rnd.randint(1, 9))) for _ in range(60)]
+    cases += ["".join(rnd.choice(("ab", "abc", "x", "x1", "aab")) for _ in range(rnd.randint(2, 14))) for _ in range(40)]
     for s in cases:
         assert secrets.guesses(s) == pytest.approx(brute_guesses(s), abs=1e-5), s
-    assert secrets.guesses("") == 0 and secrets.guesses("0b96a8c8d79c4a5085c919698889f59b72ab7bb6") > 30 > 6 > secrets.guesses("password123")
+    words = secrets.dictionary()
+    assert len(words) > 10_000 and list(words)[: len(secrets.RANK)] == list(secrets.RANK) and secrets.dictionary(None) == secrets.RANK
+    for s in ("correcthorse", "Staple7battery", "x7!Kq9"):
+        assert secrets.guesses(s, words) == pytest.approx(brute_guesses(s, words), abs=1e-5)
+    assert secrets.guesses("correcthorse", words) < 12 < secrets.guesses("correcthorse")
+    block = "".join(rnd.choice("abcdefghijklmnop0123456789") for _ in range(40))
+    assert secrets.guesses(block * 3) < secrets.guesses(block) + 1 and secrets.guesses("İ" * 3) > 0
+    assert secrets.guesses("") == 0 and secrets.guesses("0b96a8c8d79c4a5085c919698889f59b72ab7bb6", words) > 30 > 6 > secrets.guesses("password123")
+
+
+def test_secret_scan_is_linear_in_text(spark):
+    import time
+
+    began = time.time()
+    texts = ["token " + "a." * 500_000, "a.token" * 150_000, "token = " + " " * 1_000_000, "token='" * 140_000]
+    assert all(secrets.mask(t) == t for t in texts[:3])
+    secrets.mask(texts[3], secrets.Judge(secrets.RANK))
+    assert time.time() - began < 4
+    d = spark.createDataFrame(list(enumerate(texts[:3])), "doc_id long, text string")
+    assert secrets.scan(d).count() == 0 and secrets.redact(d).where("text like '%[SECRET]%'").count() == 0
+    assert time.time() - began < 20
 
 
 def test_secret_scan(spark, docs, nothing):
