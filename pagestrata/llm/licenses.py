@@ -21,14 +21,18 @@ TAG = "spdx-license-identifier:"
 #: Category of each licence, from the freest: an `or` takes the freer side, an `and` the stricter.
 ORDER = ["public-domain", "permissive", "weak-copyleft", "strong-copyleft", "non-commercial", "proprietary", "unknown"]
 KNOWN = {
-    "CC0-1.0": "public-domain", "Unlicense": "public-domain", "0BSD": "public-domain",
+    "CC0-1.0": "public-domain", "Unlicense": "public-domain", "0BSD": "public-domain", "WTFPL": "public-domain", "MIT-0": "public-domain", "PDDL-1.0": "public-domain", "blessing": "public-domain",
     "MIT": "permissive", "Apache-2.0": "permissive", "BSD-2-Clause": "permissive", "BSD-3-Clause": "permissive", "ISC": "permissive", "Zlib": "permissive", "CC-BY-4.0": "permissive", "BSL-1.0": "permissive",
+    "Apache-1.1": "permissive", "Artistic-2.0": "permissive", "PostgreSQL": "permissive", "Python-2.0": "permissive", "PSF-2.0": "permissive", "NCSA": "permissive", "X11": "permissive", "curl": "permissive", "libpng-2.0": "permissive", "UPL-1.0": "permissive", "AFL-3.0": "permissive", "BSD-3-Clause-Clear": "permissive", "BSD-4-Clause": "permissive", "PHP-3.01": "permissive", "Ruby": "permissive", "TCL": "permissive", "Unicode-3.0": "permissive", "Vim": "permissive", "W3C": "permissive", "ZPL-2.1": "permissive", "FTL": "permissive", "ICU": "permissive", "HPND": "permissive", "MS-PL": "permissive", "MulanPSL-2.0": "permissive", "BlueOak-1.0.0": "permissive", "CC-BY-1.0": "permissive", "CC-BY-2.0": "permissive", "CC-BY-2.5": "permissive", "CC-BY-3.0": "permissive", "OFL-1.1": "permissive", "ODC-By-1.0": "permissive", "CDLA-Permissive-2.0": "permissive",
+    "LGPL-2.0": "weak-copyleft", "MPL-1.1": "weak-copyleft", "EPL-1.0": "weak-copyleft", "CDDL-1.0": "weak-copyleft", "CDDL-1.1": "weak-copyleft", "CPL-1.0": "weak-copyleft", "IPL-1.0": "weak-copyleft", "MS-RL": "weak-copyleft", "CC-BY-SA-2.0": "weak-copyleft", "CC-BY-SA-2.5": "weak-copyleft", "CC-BY-SA-3.0": "weak-copyleft", "ODbL-1.0": "weak-copyleft", "APSL-2.0": "weak-copyleft", "LPPL-1.3c": "weak-copyleft", "EUPL-1.1": "weak-copyleft",
+    "GPL-1.0": "strong-copyleft", "AGPL-1.0": "strong-copyleft", "EUPL-1.2": "strong-copyleft", "OSL-3.0": "strong-copyleft", "SSPL-1.0": "strong-copyleft", "CECILL-2.1": "strong-copyleft", "GFDL-1.2": "strong-copyleft", "GFDL-1.3": "strong-copyleft", "Sleepycat": "strong-copyleft", "QPL-1.0": "strong-copyleft",
+    "CC-BY-NC-2.0": "non-commercial", "CC-BY-NC-3.0": "non-commercial", "CC-BY-NC-SA-3.0": "non-commercial", "CC-BY-NC-ND-3.0": "non-commercial", "CC-BY-ND-4.0": "proprietary", "PolyForm-Noncommercial-1.0.0": "non-commercial", "BUSL-1.1": "proprietary", "Elastic-2.0": "proprietary",
     "LGPL-2.1": "weak-copyleft", "LGPL-3.0": "weak-copyleft", "MPL-2.0": "weak-copyleft", "EPL-2.0": "weak-copyleft", "CC-BY-SA-4.0": "weak-copyleft",
     "GPL-2.0": "strong-copyleft", "GPL-3.0": "strong-copyleft", "AGPL-3.0": "strong-copyleft",
     "CC-BY-NC-4.0": "non-commercial", "CC-BY-NC-SA-4.0": "non-commercial", "CC-BY-NC-ND-4.0": "non-commercial", "LicenseRef-Proprietary": "proprietary",
 }
 #: Exceptions that make the licence before `with` one step freer.
-EXCEPTIONS = {"classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "linux-syscall-note", "autoconf-exception-3.0", "bison-exception-2.2"}
+EXCEPTIONS = {"classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "linux-syscall-note", "autoconf-exception-3.0", "bison-exception-2.2", "autoconf-exception-2.0", "classpath-exception-1.0", "font-exception-2.0", "freertos-exception-2.0", "gcc-exception-2.0", "gpl-cc-1.0", "openvpn-openssl-exception", "qt-gpl-exception-1.0", "u-boot-exception-2.0", "wxwindows-exception-3.1", "gpl-3.0-linking-exception", "lgpl-3.0-linking-exception", "ocaml-lgpl-linking-exception", "fltk-exception", "mif-exception", "libtool-exception"}
 PHRASES = {
     "apache license, version 2.0": "Apache-2.0", "apache license 2.0": "Apache-2.0",
     "mit license": "MIT", "permission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
@@ -47,11 +51,13 @@ _EXPRESSION = re.compile(r"[ \t]*((?:[A-Za-z0-9.+()-]+[ \t]*)+)")
 
 
 def postfix(expression: str) -> list[str] | None:
-    """The expression in postfix order by shunting-yard (with binds before and, and before or); None if malformed."""
+    """The expression in postfix order by shunting-yard (with binds before and, and before or); None if malformed, as where with meets a parenthesis."""
     strength = {"or": 1, "and": 2, "with": 3}
-    out, stack, operand = [], [], True
+    out, stack, operand, last = [], [], True, ""
     for token in _TOKEN.findall(expression):
-        op = token.lower()
+        op, before, last = token.lower(), last, token.lower()
+        if before == "with" and op == "(" or op == "with" and before == ")":
+            return None
         if op in strength:
             if operand:
                 return None
@@ -88,29 +94,30 @@ def normal(token: str) -> str:
 
 
 def evaluate(expression: str) -> tuple[list[str], str]:
-    """Licences named by an expression and the category it comes to; ([], 'unknown') if malformed."""
+    """Licences named by an expression, each once and in order of their places, and the category it comes to; ([], 'unknown') if malformed.
+
+    ``with`` stands between one licence and one exception; anything else is malformed.
+    """
     order = postfix(expression)
     if order is None:
         return [], "unknown"
-    stack: list[tuple[int, str]] = []
-    named = []
-    for k, token in enumerate(order):
-        if token in ("and", "or", "with"):
-            (b, right), (a, left) = stack.pop(), stack.pop()
-            if token == "with":
-                known = right.lower() in EXCEPTIONS
-                if right in named:
-                    named.remove(right)
-                named[named.index(left)] = f"{left} WITH {right}"
-                stack.append((max(0, a - 1) if known and 2 <= a <= 3 else a, named[-1]))
-            else:
-                stack.append((max(a, b) if token == "and" else min(a, b), ""))
+    # of each operand its category and the licences in it; a lone name is an operand that with can take
+    stack: list[tuple[int, list[str], bool]] = []
+    for token in order:
+        op = token.lower()
+        if op == "with":
+            (_, right, single), (a, left, plain) = stack.pop(), stack.pop()
+            if not (single and plain):
+                return [], "unknown"
+            freer = right[0].lower() in EXCEPTIONS and ORDER.index("weak-copyleft") <= a <= ORDER.index("strong-copyleft")
+            stack.append((a - freer, [f"{left[0]} WITH {right[0]}"], False))
+        elif op in ("and", "or"):
+            (b, right, _), (a, left, _) = stack.pop(), stack.pop()
+            stack.append((max(a, b) if op == "and" else min(a, b), left + right, False))
         else:
             name = normal(token)
-            stack.append((ORDER.index(KNOWN.get(name, "unknown")), name))
-            if name not in named:
-                named.append(name)
-    return named, ORDER[stack[-1][0]]
+            stack.append((ORDER.index(KNOWN.get(name, "unknown")), [name], True))
+    return list(dict.fromkeys(stack[-1][1])), ORDER[stack[-1][0]]
 
 
 def tag_expression(rest: str) -> str:
@@ -179,9 +186,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, source, expression, licenses, category, first_char, occurrences): one row for each different notice or tag expression of a document.
 
     Matching ignores case and takes any run of white space as a blank; offsets count characters of the lower-cased text from 0.
-    Null and empty texts have no findings; null ids are kept as null; repeated rows
-    give repeated results; malformed expressions have no licences and category
-    unknown; other columns are not read.
+    Null and empty texts have no findings; texts are taken whole, however long; null ids
+    are kept as null; repeated rows give repeated results; malformed expressions have no
+    licences and category unknown; empty tables give no rows; other columns are not read.
     """
     kept: list[ahocorasick.Automaton] = []
 

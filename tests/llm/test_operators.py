@@ -593,6 +593,99 @@ def test_licence_expressions():
     assert licenses.postfix("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
 
 
+def descent(expression):
+    """(licences, category) by recursive descent; an independent reading of the same grammar."""
+    tokens = re.findall(r"\(|\)|[A-Za-z0-9.+-]+", expression)
+    at = 0
+
+    def peek():
+        return tokens[at].lower() if at < len(tokens) else ""
+
+    def take():
+        nonlocal at
+        at += 1
+        return tokens[at - 1]
+
+    def name():
+        if peek() in ("", "(", ")", "and", "or", "with"):
+            raise SyntaxError
+        return licenses.normal(take())
+
+    def unit():
+        if peek() == "(":
+            take()
+            out = either()
+            if peek() != ")":
+                raise SyntaxError
+            take()
+            return out
+        left = name()
+        level = licenses.ORDER.index(licenses.KNOWN.get(left, "unknown"))
+        if peek() != "with":
+            return [left], level
+        take()
+        right = name()
+        return [f"{left} WITH {right}"], level - (right.lower() in licenses.EXCEPTIONS and level in (2, 3))
+
+    def chain(op, below, best):
+        names, level = below()
+        while peek() == op:
+            take()
+            more, other = below()
+            names, level = names + more, best(level, other)
+        return names, level
+
+    def both():
+        return chain("and", unit, max)
+
+    def either():
+        return chain("or", both, min)
+
+    try:
+        names, level = either()
+        if at < len(tokens):
+            raise SyntaxError
+    except SyntaxError:
+        return [], "unknown"
+    return list(dict.fromkeys(names)), licenses.ORDER[level]
+
+
+def test_licence_expressions_against_recursive_descent():
+    r = random.Random(4)
+    atoms = ["MIT", "GPL-2.0", "gpl-3.0-or-later", "Apache-2.0+", "Classpath-exception-2.0", "Foo", "LGPL-2.1-only", "MPL-2.0"]
+
+    def grow(depth):
+        k = r.random()
+        if depth == 0 or k < 0.3:
+            return r.choice(atoms)
+        if k < 0.45:
+            return f"{r.choice(atoms)} {r.choice(['WITH', 'with'])} {r.choice(atoms)}"
+        return f"({grow(depth - 1)})" if k < 0.6 else f"{grow(depth - 1)} {r.choice(['AND', 'or', 'OR', 'and'])} {grow(depth - 1)}"
+
+    well = 0
+    for i in range(10_000):
+        e = grow(4) if i % 2 else " ".join(r.choice([*atoms, "AND", "OR", "WITH", "(", ")"]) for _ in range(r.randrange(8)))
+        got = licenses.evaluate(e)
+        assert got == descent(e), e
+        well += got[0] != []
+    assert well > 4000
+    for e in ("(MIT OR Apache-2.0) WITH Classpath-exception-2.0", "MIT WITH (Apache-2.0 OR ISC)", "MIT WITH", "(MIT) WITH foo"):
+        assert licenses.evaluate(e) == ([], "unknown")
+    assert licenses.evaluate("MIT AND MIT WITH foo") == (["MIT", "MIT WITH foo"], "permissive")
+    assert licenses.evaluate("GPL-2.0 WITH x OR GPL-2.0 WITH x") == (["GPL-2.0 WITH x"], "strong-copyleft")
+    assert licenses.evaluate("MIT WITH MIT") == (["MIT WITH MIT"], "permissive")
+
+
+def test_licence_scan_of_awkward_rows_with_findings(spark, docs):
+    from pyspark.sql import functions as F
+
+    found = docs.withColumn("text", F.concat("text", F.lit("\nSPDX-License-Identifier: (MIT OR ISC) WITH x\nAll rights reserved. SPDX-License-Identifier: MIT WITH MIT")))
+    got = sorted(((r.doc_id or 0, r.source, r.category, len(r.licenses)) for r in licenses.scan(found).collect()))
+    kinds = [("notice", "proprietary", 1), ("tag", "permissive", 1), ("tag", "unknown", 0)]
+    want = sorted((i or 0, *k) for i, t, *_ in AWKWARD if t is not None for k in kinds)
+    assert [(i, *k) for i, *k in got] == want
+
+
 def test_licence_scan_against_search(spark, docs, nothing):
     rows = [
         (1, "Released under the MIT License.\nreleased under the mit license"),
