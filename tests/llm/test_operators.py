@@ -742,7 +742,52 @@ def test_toxicity_held_out(spark):
     got = {r.doc_id for r in toxicity.detect(docs.where("doc_id >= 600"), chain).collect()}
     assert got == {i for i, t in labels if t and i >= 600}
     # each later model takes the words and every earlier probability
-    assert [len(w) if not isinstance(w, float) else 0 for w in chain.weights][-1] == 1 + len(chain.vocab) + len(toxicity.CATEGORIES) - 1
+    assert [len(w) for w in chain.weights] == [1 + chain.column.max() + 1 + k for k in range(len(toxicity.CATEGORIES))]
+    # an id with very many rows sends one text; categories of the table are learned from it
+    again = docs.unionByName(docs.where("doc_id = 7").crossJoin(spark.range(500)).drop("id"))
+    own = lab.where("doc_id < 600").selectExpr("*", "int(doc_id % 14 = 0 and toxic = 1) as threat")
+    other = toxicity.train(again, own)
+    assert (other.vocab == chain.vocab).all() and (other.weights[-1] != chain.weights[-1]).any() and (toxicity.train(again, lab.where("doc_id < 600")).weights[-1] == chain.weights[-1]).all()
+
+
+def test_toxicity_scores_against_loops(spark, sf_dir):
+    """The registered query, word by word and category by category."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.train(docs, labels)
+    if chain is None:
+        pytest.skip("no labels of both kinds")
+    m, known = (1 << 64) - 1, dict(zip(chain.vocab.tolist(), chain.column.tolist()))
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & m
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & m
+        return h ^ (h >> 31)
+
+    def hashes(w):
+        h, power, raw = 0, 1, w.encode()
+        for b in raw:
+            h, power = (h + (b + 1) * power) & m, power * 0xD6E8FEB86659FD93 & m
+        yield mix(h)
+        h = 0
+        for k, b in enumerate(raw[:6], 1):
+            h = (h + b + 1) * 0x9E3779B97F4A7C15 & m
+            if k >= 4:
+                yield mix(h ^ k)
+
+    want = {}
+    for r in docs.collect():
+        on, p = {known[h] for w in set(words(r.text)) for h in hashes(w) if h in known}, []
+        for w in chain.weights:
+            z = w[0] + sum(w[1 + k] for k in on) + sum(a * b for a, b in zip(w[len(w) - len(p) :], p))
+            p.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        if p[-1] >= chain.threshold and words(r.text):
+            want[r.doc_id] = [round(x, 5) for x in p]
+    from pagestrata.llm import queries
+
+    got = {r.doc_id: [round(x, 5) for x in list(r)[1:-1]] for r in queries.op10_toxicity(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-5) for i in got) and got
 
 
 def test_toxicity_edges(spark, docs, nothing):
