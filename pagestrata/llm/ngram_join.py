@@ -8,11 +8,12 @@ lengths cannot reach the required overlap.
 
 To distribute it without losing a pair, the grams are divided into parts by hash.
 If two sets have similarity t, then in at least one part their shares of it have
-(were it less in each, the sums over the parts would give less in all).  Shares of
-similarity t have a gram of their prefixes in common, so each share is sent to the
-subtrees of its prefix grams, with a 64-bit bitmap; shares that meet there and may be
-similar by size, place of the gram and bitmap give an edge.  The number of parts goes by the size of the
-set, so that a share has 4 to 16 grams on average; a set whose partners may be of the
+(were it less in each, the sums over the parts would give less in all); and so in one
+of four quarters of that part.  Shares of similarity t have a gram of their prefixes in
+common, so the share of each quarter is sent to the subtrees of its prefix grams, with a
+bitmap and that of the whole part; shares that meet there and may be similar by sizes,
+place of the gram and both bitmaps give an edge.  The number of parts goes by the size of the
+set, so that the share of a quarter has 2 to 8 grams on average; a set whose partners may be of the
 next smaller class is sent in the parts of that class too.  All of this can only rule
 out pairs that aren't similar.
 
@@ -40,7 +41,7 @@ THRESHOLD = 0.55
 #: One of so many documents is looked at for common grams, at most HOT_MOST of those that occur in at least HOT_LEAST of them; this changes the work only, not the result.
 HOT_EVERY, HOT_LEAST, HOT_MOST = 16, 8, 100_000
 #: Bytes of text of a block of a component, and of the grams sent to one task.
-BLOCK_BYTES, ROUTE_BYTES = 8 << 20, 24 << 20
+BLOCK_BYTES, ROUTE_BYTES = 8 << 20, 16 << 20
 #: Rows that are gathered before they are sent, and the variants of a subtree up to which all pairs of them are tested.
 GATHER, RUN = 1 << 21, 256
 _U = np.uint64
@@ -88,12 +89,33 @@ def prefix_length(n: np.ndarray | int, t: float) -> np.ndarray:
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
-    """k for the sets of n grams that are divided into 4**k parts: 0 below 16 grams, 1 below 64, and so on."""
-    return np.floor(np.log2(np.maximum(n // 4, 1)) + 1e-9).astype(np.int64) // 2
+    """k for the sets of n grams that are divided into 4**k parts: 0 below 8 grams, 1 below 32, and so on."""
+    return np.floor(np.log2(np.maximum(n // 2, 1)) + 1e-9).astype(np.int64) // 2
 
 
-def shares(sets: list[np.ndarray], k: int, t: float, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(set, gram, bits, size, place) of the prefix grams of every share of the sets in the 4**k parts; hot: grams, sorted, that come last, by rank."""
+class Shares(NamedTuple):
+    """Prefix grams of quarters of parts: the gram's subtree, bitmap and size of the quarter's share and the gram's place in it, bitmap (in two words) and size of the whole part's share, the part, and the set."""
+
+    key: np.ndarray
+    bits: np.ndarray
+    size: np.ndarray
+    place: np.ndarray
+    all_bits: np.ndarray
+    more_bits: np.ndarray
+    all_size: np.ndarray
+    part: np.ndarray
+    label: np.ndarray
+
+    def take(self, at: np.ndarray) -> Shares:
+        return Shares(*(c[at] for c in self))
+
+
+def joined(rows: list[Shares]) -> Shares:
+    return Shares(*map(np.concatenate, zip(*rows)))
+
+
+def shares(sets: list[np.ndarray], label: np.ndarray, k: int, t: float, hot: np.ndarray, rank: np.ndarray) -> Shares:
+    """All prefix grams of the shares of the sets in the 4**k quarters of parts; hot: grams, sorted, that come last, by rank."""
     flat = np.concatenate(sets)
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     part = (flat & _U((1 << 2 * k) - 1)).astype(np.int64)
@@ -103,12 +125,23 @@ def shares(sets: list[np.ndarray], k: int, t: float, hot: np.ndarray, rank: np.n
         late = np.where(hot[at] == flat, rank[at], 0)
     o = np.lexsort((late, part, of))  # stable, so by gram within
     flat, of, part = flat[o], of[o], part[o]
+    h = K.mix(flat)
+    bit = np.left_shift(_U(1), h >> _U(58))
     first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (of[1:] != of[:-1])]))
     size = np.diff(np.concatenate([first, [len(flat)]]))
-    bits = np.bitwise_xor.reduceat(np.left_shift(_U(1), K.mix(flat) >> _U(58)), first)
+    bits = np.bitwise_xor.reduceat(bit, first)
+    # four quarters of a part follow each other
+    part >>= 2 if k else 0
+    whole = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (of[1:] != of[:-1])]))
+    n = np.diff(np.concatenate([whole, [len(flat)]]))
+    odd = (h >> _U(57) & _U(1)).astype(bool)
+    more = np.bitwise_xor.reduceat(np.where(odd, bit, _U(0)), whole)
+    less = np.bitwise_xor.reduceat(np.where(odd, _U(0), bit), whole)
     place = np.arange(len(flat)) - np.repeat(first, size)
     on = place < np.repeat(prefix_length(size, t), size)
-    return of[on], flat[on], np.repeat(bits, size)[on], np.repeat(size, size)[on], place[on]
+    key = K.mix(flat[on] + _U((k + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+    small, large = (np.repeat(np.arange(len(c)), c)[on] for c in (size, n))
+    return Shares(key, bits[small], size[small], place[on], less[large], more[large], n[large], part[on] | k << 48, label[of[on]])
 
 
 # == the trie
@@ -318,25 +351,39 @@ def _common_grams(base: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[o], (len(o) - np.arange(len(o)))[o]
 
 
+#: Columns of a block of shares; those of a part, its size and the set repeat from row to row while a part goes to few tasks.
+_ROW = {"key": "<u2", "high_key": np.uint8, "bits": "<u8", "size": np.uint8, "place": np.uint8, "all_bits": "<u8", "more_bits": "<u8", "all_size": np.uint8, "label": "<u4", "high_label": "<u2"}
+
+
+def route_of(s: Shares, routes: int) -> np.ndarray:
+    """The task that each row goes to: all rows of a subtree to the same.  A part's subtrees are divided among so many tasks as parts of its class are too few for all."""
+    k = s.part >> 48
+    tasks = np.maximum(1, routes >> 2 * np.maximum(k - 1, 0) + 2).astype(_U)
+    h = K.mix(K.mix(s.part.astype(_U)) + s.key % tasks)
+    return ((h >> _U(32)) * _U(routes) >> _U(32)).astype(np.int64)
+
+
 def _send(n: int, t: float, hot: np.ndarray, rank: np.ndarray, routes: int):
-    """Blocks of prefix grams by route: 32 bits of the subtree's name, the bitmap, the share's size and the gram's place in it, and 48 bits of the text's key of each.
+    """Blocks of shares by route, with 24 bits of the subtree's name and 48 bits of the text's key.
 
     Texts that a task has sent already are not sent again.
     """
 
-    def block(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, bits, size, place, label = (np.concatenate([r[c] for r in rows]) for c in range(5))
-        route = ((key >> _U(32)) * _U(routes) >> _U(32)).astype(np.int64)
+    def block(rows: list[Shares]) -> pa.RecordBatch:
+        s = joined(rows)
+        route = route_of(s, routes)
         o = np.argsort(route.astype(np.uint16) if routes <= 65536 else route, kind="stable")
         route = route[o]
         edge = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1], [True]]))
-        columns = [(key[o] & _U(0xFFFFFFFF)).astype("<u4"), bits[o].astype("<u8"), np.minimum(size[o], 255).astype(np.uint8), np.minimum(place[o], 255).astype(np.uint8), (label[o] & _U(0xFFFFFFFF)).astype("<u4"), (label[o] >> _U(32)).astype("<u2")]
+        name = s.key >> _U(40)
+        values = (name & _U(0xFFFF), name >> _U(16), s.bits, np.minimum(s.size, 255), np.minimum(s.place, 255), s.all_bits, s.more_bits, np.minimum(s.all_size, 255), s.label & _U(0xFFFFFFFF), s.label >> _U(32))
+        columns = [v[o].astype(kind) for v, kind in zip(values, _ROW.values())]
         data = [[c[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])] for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(route[edge[:-1]], pa.int32()), *(pa.array(d, pa.binary()) for d in data)], names=["route", "key", "bits", "n", "place", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(route[edge[:-1]], pa.int32()), *(pa.array(d, pa.binary()) for d in data)], names=["route", *_ROW])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        rows: list[tuple[np.ndarray, ...]] = []
+        rows: list[Shares] = []
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in K.steps(batch):
@@ -355,9 +402,8 @@ def _send(n: int, t: float, hot: np.ndarray, rank: np.ndarray, routes: int):
                     for k in range(int(least.min()), int(most.max()) + 1):
                         on = at[(least <= k) & (k <= most)]
                         if len(on):
-                            of, gram, bits, share, place = shares([sets[i] for i in on], k, t, hot, rank)
-                            rows.append((K.mix(gram + _U((k + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)), bits, share, place, label[on][of]))
-                    if sum(len(r[0]) for r in rows) >= GATHER:
+                            rows.append(shares([sets[i] for i in on], label[on], k, t, hot, rank))
+                    if sum(len(r.key) for r in rows) >= GATHER:
                         yield block(rows)
                         rows = []
             if rows:
@@ -366,25 +412,18 @@ def _send(n: int, t: float, hot: np.ndarray, rank: np.ndarray, routes: int):
     return run
 
 
-class Shares(NamedTuple):
-    """Shares that meet: subtree, bitmap, size and place of the subtree's gram, and the set."""
-
-    key: np.ndarray
-    bits: np.ndarray
-    size: np.ndarray
-    place: np.ndarray
-    label: np.ndarray
-
-    def take(self, at: np.ndarray) -> Shares:
-        return Shares(*(c[at] for c in self))
-
-
 def _may_match(s: Shares, x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
     """Whether the shares x and y may be similar and have no common gram before this one; 255 stands for any greater size too."""
-    a, b = s.size[x], s.size[y]
-    need = required(a, b, t)
-    by_size = (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (np.minimum(a - s.place[x], b - s.place[y]) >= need)
-    return by_size & (np.bitwise_count(s.bits[x] ^ s.bits[y]) <= a + b - 2 * need) | (a >= 255) | (b >= 255)
+    ok = np.ones(1, bool)
+    for size, *bits in ((s.size, s.bits), (s.all_size, s.all_bits, s.more_bits)):
+        a, b = size[x], size[y]
+        need = required(a, b, t)
+        apart = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in bits)
+        similar = (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (apart <= a + b - 2 * need)
+        if size is s.size:
+            similar &= np.minimum(a - s.place[x], b - s.place[y]) >= need
+        ok = ok & (similar | (a >= 255) | (b >= 255))
+    return ok
 
 
 def meeting(s: Shares, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -397,9 +436,11 @@ def meeting(s: Shares, t: float) -> tuple[np.ndarray, np.ndarray]:
     s = s.take(o[twice])
     if not len(s.key):
         return s.label, s.label
-    s = s.take(np.lexsort((s.bits, s.size, s.key)))
+    kinds = (s.key, s.size, s.bits, s.all_bits, s.more_bits, s.all_size)
+    o = np.lexsort(kinds[::-1])
+    s, kinds = s.take(o), [c[o] for c in kinds]
     # shares that are alike are chained to the first of them, the variant
-    new = np.concatenate([[True], (s.key[1:] != s.key[:-1]) | (s.size[1:] != s.size[:-1]) | (s.bits[1:] != s.bits[:-1])])
+    new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in kinds], axis=0)])
     first = np.flatnonzero(new)
     us, vs = [s.label[~new]], [np.repeat(s.label[first], np.diff(np.concatenate([first, [len(new)]])))[~new]]
     s = s._replace(place=np.minimum.reduceat(s.place, first)[np.cumsum(new) - 1]).take(first)
@@ -433,8 +474,10 @@ def meeting(s: Shares, t: float) -> tuple[np.ndarray, np.ndarray]:
 
 def _meet(t: float):
     def f(table: pa.Table) -> pa.RecordBatch:
-        key, bits, size, place, low, high = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("key", "<u4"), ("bits", "<u8"), ("n", np.uint8), ("place", np.uint8), ("low", "<u4"), ("high", "<u2")))
-        u, v = meeting(Shares(key, bits, size.astype(np.int64), place.astype(np.int64), low.astype(np.int64) | high.astype(np.int64) << 32), t)
+        c = {name: np.frombuffer(b"".join(table.column(name).to_pylist()), kind) for name, kind in _ROW.items()}
+        key, size, place, all_size, label = (c[k].astype(np.int64) for k in ("key", "size", "place", "all_size", "label"))
+        s = Shares(key | c["high_key"].astype(np.int64) << 16, c["bits"], size, place, c["all_bits"], c["more_bits"], all_size, size, label | c["high_label"].astype(np.int64) << 32)
+        u, v = meeting(s, t)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return f
@@ -514,10 +557,10 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, pairs:
     d = every.groupBy("doc_id", "k1", "k2").agg(F.max("bytes").alias("bytes"))
     texts = K.cut(d.groupBy("k1", "k2").agg(F.min("doc_id").alias("lead"), F.count("*").alias("copies"), F.max("bytes").alias("bytes")))
     amount = texts.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    # about one prefix gram in 9 bytes of text, of 20 bytes each
-    routes = max(docs.sparkSession.sparkContext.defaultParallelism, int(2.2 * amount) // ROUTE_BYTES, 1)
+    # about one prefix gram in 9 bytes of text, of some 20 bytes packed
+    routes = max(docs.sparkSession.sparkContext.defaultParallelism, int(2.7 * amount) // ROUTE_BYTES, 1)
     hot, rank = _common_grams(base, n)
-    sent = base.mapInArrow(_send(n, t, hot, rank, routes), "route int, key binary, bits binary, n binary, place binary, low binary, high binary")
+    sent = base.mapInArrow(_send(n, t, hot, rank, routes), "route int, " + ", ".join(f"{c} binary" for c in _ROW))
     comp = connected(K.map_partition(sent.repartitionById(routes, F.col("route")), _meet(t), "u long, v long"))
     may = texts.withColumn("label", F.col("k1").bitwiseAND(F.lit(int(_LABEL)))).join(comp.withColumnRenamed("node", "label"), "label")
     nodes = K.cut(may.select("lead", "k1", "k2", "copies", "bytes", "comp", F.monotonically_increasing_id().alias("node")))
