@@ -72,11 +72,13 @@ def dictionary(path: str | None = bpe.VOCAB) -> dict[str, int]:
     return found
 
 
-def _repeats(s: str) -> list[tuple[int, int, float]]:
-    """Every block that follows itself, from each place to its last repetition; blocks that are repetitions themselves are left to their parts, which cost less.
+def _repeats(s: str) -> list[tuple[int, int, tuple[int, int, int], float]]:
+    """(place, size, run, log10 guesses of the block) of every block that follows itself; blocks of one run are equal and follow each other, and those that are repetitions themselves are left to their parts, which cost less.
 
     A run of a longer block and its like holds a 17-gram that comes again so far on, at a
     place that is a multiple of the block's size less 16; other sizes are passed over.
+    So are places in a run of a part of the block that is longer than the block, as such a
+    run ends where that of the block does.
     """
     n, out = len(s), []
     code = np.frombuffer(s.encode("utf-32-le"), np.uint32)
@@ -89,32 +91,42 @@ def _repeats(s: str) -> list[tuple[int, int, float]]:
     for size in range(1, most + 1):
         if size >= 2 * whole:  # all of it repeats a smaller block
             break
-        if size > 16 and not (h[: len(h) - size : size - 16] == h[size :: size - 16]).any():
-            continue
+        if size > 16:
+            seen = np.flatnonzero(h[: len(h) - size : size - 16] == h[size :: size - 16]) * (size - 16)
+            for q, (x, y) in runs.items():
+                if not len(seen):
+                    break
+                if size % q == 0:
+                    k = np.searchsorted(x, seen, "right") - 1
+                    seen = seen[(k < 0) | (seen >= y[np.maximum(k, 0)] + q - size)]
+            if not len(seen):
+                continue
         unequal = np.flatnonzero(code[size:] != code[:-size])
         edge = np.concatenate([[-1], unequal, [n - size]])
         on = np.diff(edge) - 1 >= size
         if not on.any():
             continue
         lo, hi = edge[:-1][on] + 1, edge[1:][on]  # characters lo to hi equal those size places on
-        runs[size] = lo, hi
         if hi[0] - lo[0] == n - size:
             whole = min(whole, size)
-        parts = [(q, *runs[q]) for q in runs if size % q == 0 and q < size]
+        parts, new = [(q, x, y) for q, (x, y) in runs.items() if size % q == 0], False
         for a, b in zip(lo.tolist(), hi.tolist()):
             at = np.arange(a, b - size + 1)
             for q, x, y in parts:
                 k = np.searchsorted(x, at, "right") - 1
                 at = at[(k < 0) | (y[np.maximum(k, 0)] - at < size - q)]
-            times = (b - at) // size + 1
-            for i, t in zip(at.tolist(), times.tolist()):
-                if t * size >= 3:
-                    out.append((i, i + t * size, size * math.log10(_alphabet(s[i : i + size])) + math.log10(t)))
+            new |= bool(len(at))
+            cost = size * math.log10(_alphabet(s[a : a + size]))  # the blocks of a run have the same characters
+            for i in at.tolist():
+                if size > 1 or b - i >= 2:  # three characters at least
+                    out.append((i, size, (size, a, i % size), cost))
+        if new:
+            runs[size] = lo, hi
     return out
 
 
 def _spans(s: str, words: dict[str, int]) -> list[tuple[int, int, float]]:
-    """(start, end, log10 guesses) of every word, date, repeat and keyboard walk in s."""
+    """(start, end, log10 guesses) of every word, date and keyboard walk in s."""
     low, out, n = s.lower(), [], len(s)
     plain = low.translate(_LEET)
     longest = max(map(len, words), default=0)
@@ -128,7 +140,6 @@ def _spans(s: str, words: dict[str, int]) -> list[tuple[int, int, float]]:
         m = _DATE.match(s, i)
         if m:
             out.append((i, m.end(), math.log10(365 * 150) if m.end() - i > 4 else math.log10(150)))
-    out += _repeats(s)
     i = 0
     while i < n - 2:
         j = i + 1
@@ -149,6 +160,11 @@ def guesses(value: str, words: dict[str, int] = RANK) -> float:
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for i, j, cost in _spans(value, words):
         ending[j].append((i, cost))
+    again: list[list[tuple[int, int, tuple[int, int, int], float]]] = [[] for _ in range(n + 1)]
+    for i, size, run, cost in _repeats(value):
+        again[i + max(2 * size, 3)].append((i, size, run, cost))
+    # of each run, the places from which its blocks may cost least, in order, and with ever greater cost of what is before them
+    held: dict[tuple[int, int, int], list[tuple[int, float]]] = {}
     # best[j][b]: the prefix of length j; b: whether it ends in a brute-force span, which goes on at no cost of a new segment
     seg = math.log10(2)
     best = [[0.0, math.inf]] + [[math.inf, math.inf] for _ in range(n)]
@@ -156,6 +172,17 @@ def guesses(value: str, words: dict[str, int] = RANK) -> float:
         best[j][1] = min(best[j - 1][1], best[j - 1][0] + seg) + per
         for i, cost in ending[j]:
             best[j][0] = min(best[j][0], min(best[i]) + cost + seg)
+        for i, size, run, cost in again[j]:
+            before, least, places = min(best[i]), math.inf, held.get(run, [])
+            while places and places[-1][1] >= before:
+                places.pop()
+            held[run] = []
+            for at, g in [*places, (i, before)]:
+                # an earlier place that costs no more now never will, as the logarithms of the times come closer
+                if g + math.log10((j - at) // size) < least:
+                    least = g + math.log10((j - at) // size)
+                    held[run].append((at, g))
+            best[j][0] = min(best[j][0], least + cost + seg)
     return round(min(best[n]), 6)
 
 
