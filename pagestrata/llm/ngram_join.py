@@ -43,7 +43,7 @@ HOT_EVERY, HOT_LEAST, HOT_MOST = 16, 8, 100_000
 #: Bytes of text of a block of a component, and of the grams sent to one task.
 BLOCK_BYTES, ROUTE_BYTES = 8 << 20, 16 << 20
 #: Rows that are gathered before they are sent, and the variants of a subtree up to which all pairs of them are tested.
-GATHER, RUN = 1 << 21, 256
+GATHER, RUN = 1 << 20, 256
 _U = np.uint64
 _LABEL = _U((1 << 48) - 1)
 
@@ -110,10 +110,6 @@ class Shares(NamedTuple):
         return Shares(*(c[at] for c in self))
 
 
-def joined(rows: list[Shares]) -> Shares:
-    return Shares(*map(np.concatenate, zip(*rows)))
-
-
 def shares(sets: list[np.ndarray], label: np.ndarray, k: int, t: float, hot: np.ndarray, rank: np.ndarray) -> Shares:
     """All prefix grams of the shares of the sets in the 4**k quarters of parts; hot: grams, sorted, that come last, by rank."""
     flat = np.concatenate(sets)
@@ -369,21 +365,25 @@ def _send(n: int, t: float, hot: np.ndarray, rank: np.ndarray, routes: int):
     Texts that a task has sent already are not sent again.
     """
 
-    def block(rows: list[Shares]) -> pa.RecordBatch:
-        s = joined(rows)
-        route = route_of(s, routes)
-        o = np.argsort(route.astype(np.uint16) if routes <= 65536 else route, kind="stable")
-        route = route[o]
-        edge = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1], [True]]))
+    def packed(s: Shares) -> list[np.ndarray]:
         name = s.key >> _U(40)
         values = (name & _U(0xFFFF), name >> _U(16), s.bits, np.minimum(s.size, 255), np.minimum(s.place, 255), s.all_bits, s.more_bits, np.minimum(s.all_size, 255), s.label & _U(0xFFFFFFFF), s.label >> _U(32))
-        columns = [v[o].astype(kind) for v, kind in zip(values, _ROW.values())]
-        data = [[c[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])] for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(route[edge[:-1]], pa.int32()), *(pa.array(d, pa.binary()) for d in data)], names=["route", *_ROW])
+        return [route_of(s, routes).astype(np.uint16 if routes <= 65536 else np.int32), *(v.astype(kind) for v, kind in zip(values, _ROW.values()))]
+
+    def block(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+        route = np.concatenate([r[0] for r in rows])
+        o = np.argsort(route, kind="stable").astype(np.int32)
+        route = route[o]
+        edge = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1], [True]]))
+        data = []
+        for c in range(1, len(_ROW) + 1):
+            column = np.concatenate([r[c] for r in rows])[o]
+            data.append(pa.array([column[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])], pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(route[edge[:-1]].astype(np.int32)), *data], names=["route", *_ROW])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        rows: list[Shares] = []
+        rows: list[list[np.ndarray]] = []
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in K.steps(batch):
@@ -402,8 +402,8 @@ def _send(n: int, t: float, hot: np.ndarray, rank: np.ndarray, routes: int):
                     for k in range(int(least.min()), int(most.max()) + 1):
                         on = at[(least <= k) & (k <= most)]
                         if len(on):
-                            rows.append(shares([sets[i] for i in on], label[on], k, t, hot, rank))
-                    if sum(len(r.key) for r in rows) >= GATHER:
+                            rows.append(packed(shares([sets[i] for i in on], label[on], k, t, hot, rank)))
+                    if sum(len(r[0]) for r in rows) >= GATHER:
                         yield block(rows)
                         rows = []
             if rows:
