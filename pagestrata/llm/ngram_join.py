@@ -41,7 +41,7 @@ THRESHOLD = 0.55
 #: One of so many documents is looked at for common grams, at most HOT_MOST of those that occur in at least HOT_LEAST of them; this changes the work only, not the result.
 HOT_EVERY, HOT_LEAST, HOT_MOST = 16, 8, 100_000
 #: Bytes of text of a block of a component, and of the grams sent to one task.
-BLOCK_BYTES, ROUTE_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, ROUTE_BYTES = 8 << 20, 8 << 20
 #: Rows that are gathered before they are sent, and the variants of a subtree up to which all pairs of them are tested.
 GATHER, RUN = 1 << 20, 256
 _U = np.uint64
@@ -416,24 +416,29 @@ def _may_match(s: Shares, x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
     """Whether the shares x and y may be similar and have no common gram before this one; 255 stands for any greater size too."""
     ok = np.ones(1, bool)
     for size, *bits in ((s.size, s.bits), (s.all_size, s.all_bits, s.more_bits)):
-        a, b = size[x], size[y]
+        a, b = size[x].astype(np.int64), size[y].astype(np.int64)
         need = required(a, b, t)
         apart = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in bits)
         similar = (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (apart <= a + b - 2 * need)
         if size is s.size:
-            similar &= np.minimum(a - s.place[x], b - s.place[y]) >= need
+            similar &= np.minimum(a - s.place[x].astype(np.int64), b - s.place[y].astype(np.int64)) >= need
         ok = ok & (similar | (a >= 255) | (b >= 255))
     return ok
 
 
-def meeting(s: Shares, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect the sets whose shares meet in a subtree and may be similar; a pair that is connected otherwise needs no edge of its own."""
-    o = np.argsort(s.key, kind="stable")
+def met(key: np.ndarray) -> np.ndarray:
+    """Rows whose subtree has another row, in order of subtrees."""
+    o = np.argsort(key, kind="stable")
     twice = np.zeros(len(o), bool)
-    same = s.key[o][1:] == s.key[o][:-1]
+    same = key[o][1:] == key[o][:-1]
     twice[1:] |= same
     twice[:-1] |= same
-    s = s.take(o[twice])
+    return o[twice]
+
+
+def meeting(s: Shares, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the sets whose shares meet in a subtree and may be similar; a pair that is connected otherwise needs no edge of its own."""
+    s = s.take(met(s.key))
     if not len(s.key):
         return s.label, s.label
     kinds = (s.key, s.size, s.bits, s.all_bits, s.more_bits, s.all_size)
@@ -474,9 +479,15 @@ def meeting(s: Shares, t: float) -> tuple[np.ndarray, np.ndarray]:
 
 def _meet(t: float):
     def f(table: pa.Table) -> pa.RecordBatch:
-        c = {name: np.frombuffer(b"".join(table.column(name).to_pylist()), kind) for name, kind in _ROW.items()}
-        key, size, place, all_size, label = (c[k].astype(np.int64) for k in ("key", "size", "place", "all_size", "label"))
-        s = Shares(key | c["high_key"].astype(np.int64) << 16, c["bits"], size, place, c["all_bits"], c["more_bits"], all_size, size, label | c["high_label"].astype(np.int64) << 32)
+        def column(name: str) -> np.ndarray:
+            return np.frombuffer(b"".join(table.column(name).to_pylist()), _ROW[name])
+
+        key = column("key").astype(np.uint32) | column("high_key").astype(np.uint32) << 16
+        # most subtrees have one row: the other columns are taken one by one, without those
+        at = met(key)
+        bits, size, place, all_bits, more_bits, all_size = (column(name)[at] for name in ("bits", "size", "place", "all_bits", "more_bits", "all_size"))
+        label = column("label")[at].astype(np.int64) | column("high_label")[at].astype(np.int64) << 32
+        s = Shares(key[at], bits, size, place, all_bits, more_bits, all_size, size, label)
         u, v = meeting(s, t)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
