@@ -5,8 +5,8 @@ python -m pagestrata.cli validate PAGE_OR_DIR [DOCUMENT_OR_SPLIT_DIR] [--json] [
 python -m pagestrata.cli rank PAGE QUESTION
 
 ``generate -`` reads one page from standard input and writes its document to standard
-output.  Exit codes: 0 all well, 1 a page has no document or a check found errors,
-2 wrong use or nothing found.
+output.  Exit codes: 0 all well; of generate 1 nothing found and 2 a page without a
+document; of validate 1 errors found and 2 nothing found.
 """
 
 from __future__ import annotations
@@ -44,20 +44,20 @@ def generate(args: argparse.Namespace, spark: SparkSession) -> int:
         row = built(files.page(spark, sys.stdin.read(), args.base_url), args.json).first()
         if not row.ok:
             print(row.error, file=sys.stderr)
-            return 1
+            return 2
         sys.stdout.write(row.json if args.json else row.md)
         return 0
     missing = [x for x in args.inputs if not os.path.exists(x)]
     if missing:
         print(f"not found: {', '.join(missing)}", file=sys.stderr)
-        return 2
+        return 1
     pages = files.html_pages(spark, *args.inputs, base_url=args.base_url)
     rows = pages.select("page_id", "rel").join(built(pages, args.json, args.split), "page_id").persist()
     out = args.out or (args.inputs[0] if os.path.isdir(args.inputs[0]) else os.path.dirname(os.path.abspath(args.inputs[0])))
     n = rows.count()
     if n == 0:
         print("no pages found", file=sys.stderr)
-        return 2
+        return 1
     files.write_texts(files.output_files(rows, args.json, args.split), out)
     if args.site_index:
         # one small row for each page: an index is one file by its nature
@@ -74,7 +74,7 @@ def generate(args: argparse.Namespace, spark: SparkSession) -> int:
         for r in site.size_table(sizes, "rel").orderBy("total", "rel").toLocalIterator():
             if not r.total or n > 1:
                 print(f"{'TOTAL' if r.total else r.rel}: {r.raw} raw, {r.sibling} document ({r.sibling_times:.1f}x), {r.header} header ({r.header_times:.0f}x)")
-    return 1 if failed.count() else 0
+    return 2 if failed.count() else 0
 
 
 def check(args: argparse.Namespace, spark: SparkSession) -> int:

@@ -67,8 +67,8 @@ def allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url", host_col: s
     u = urls.withColumn("path", url_path(url_col))
     keyed = rules.withColumn("rx", pattern_regex(F.col("pattern")))
     hit = u.join(keyed, host_col).where(F.expr("path rlike rx"))
-    best = hit.groupBy(url_col).agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("__allow"))
-    return u.join(best, url_col, "left").withColumn("allowed", F.coalesce("__allow", F.lit(True))).drop("__allow")
+    best = hit.groupBy(host_col, url_col).agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("__allow"))
+    return u.join(best, [host_col, url_col], "left").select(*u.columns, "__allow").withColumn("allowed", F.coalesce("__allow", F.lit(True))).drop("__allow")
 
 
 def admit_hits(times: list[int], most: int, window_ms: int = WINDOW_MS, before: list[int] | None = None) -> tuple[list[bool], list[int]]:

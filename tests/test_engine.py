@@ -283,6 +283,12 @@ def test_robots(spark, robots, path, ok):
     assert crawl.allowed(spark.createDataFrame([("h", "http://h.org" + path)], "host string, url string"), rules).first().allowed is ok
 
 
+def test_robots_of_two_hosts_with_one_path(spark):
+    rules = crawl.robots_rules(spark.createDataFrame([("h", "User-agent: *\nDisallow: /x"), ("g", "User-agent: *\nAllow: /x")], "host string, robots string"))
+    urls = spark.createDataFrame([("h", "/x/1"), ("g", "/x/1"), ("f", "/x/1")], "host string, url string")
+    assert {r.host: r.allowed for r in crawl.allowed(urls, rules).collect()} == {"h": False, "g": True, "f": True}
+
+
 def test_admission(spark):
     cases = {"http://a.org/x": True, "https://b.c.de": True, "ftp://a.org": False, "http://localhost/x": False, "http://10.0.0.1/": False, "http://x.local/": False, "http://db.internal": False, "nonsense": False}
     rows = spark.createDataFrame([(u,) for u in cases] + [(None,)], "url string").select("url", crawl.admitted("url").alias("ok")).collect()
@@ -329,8 +335,10 @@ def test_files_round_trip(spark, tmp_path):
     assert whole["a"] == (tmp_path / "out/a.llm.md").read_text() and whole["sub/b"] == (tmp_path / "out/sub/b.llm.md").read_text()
     assert cli.main(["validate", str(tmp_path / "in/a.html"), str(tmp_path / "out/a.llm.md")]) == 0
     assert cli.main(["validate", str(tmp_path / "in/a.html"), str(tmp_path / "out/a.llm"), "--strict"]) == 1
-    assert cli.main(["validate", str(tmp_path / "nothing")]) == 2 and cli.main(["generate", str(tmp_path / "nothing")]) == 2
+    assert cli.main(["validate", str(tmp_path / "nothing")]) == 2 and cli.main(["generate", str(tmp_path / "nothing")]) == 1
     assert cli.main(["generate", root, "--quiet"]) == 0 and cli.main(["validate", root, "--json"]) == 0
+    (tmp_path / "app.html").write_text("<body>" + "<script src=a.js></script>" * 5 + "</body>")
+    assert cli.main(["generate", str(tmp_path / "app.html"), "--quiet"]) == 2
     assert cli.main(["rank", str(tmp_path / "in/a.html"), "What is the wheel made of?"]) == 0
 
 
