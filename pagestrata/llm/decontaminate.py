@@ -238,7 +238,7 @@ def _stepped(f, text: int = 1):
                     if out.num_rows:
                         yield out
 
-    return run
+    return K.released(run)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

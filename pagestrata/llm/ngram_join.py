@@ -19,7 +19,9 @@ out pairs that aren't similar.
 
 Connected sets travel together, each once, and the trie finds the similar pairs of a
 component.  A large component is divided into blocks, and each pair of blocks is a
-group of its own.
+group of its own.  Where only links and classes are wanted, the sets of a large group are
+counted by matrix products instead, as the similar pairs of a large class are too many
+to be listed.
 """
 
 from __future__ import annotations
@@ -43,7 +45,11 @@ HOT_EVERY, HOT_LEAST, HOT_MOST = 16, 8, 100_000
 #: Bytes of text of a block of a component, and of the grams sent to one task.
 BLOCK_BYTES, ROUTE_BYTES = 8 << 20, 8 << 20
 #: Rows that are gathered before they are sent, and the variants of a subtree up to which all pairs of them are tested.
-GATHER, RUN = 1 << 20, 256
+GATHER, RUN = 1 << 19, 256
+#: Bytes that a text counts for at least in a block, so that a block has a bounded number of sets.
+TEXT_BYTES = 1 << 10
+#: Sets of a group beyond which links are counted by matrix products, the cells of a matrix, and how many of them cost what one pair of a gram does that isn't in it; this changes the plan, not the result.
+CROWD, CELLS, CHEAPER = 64, 1 << 21, 250
 _U = np.uint64
 _LABEL = _U((1 << 48) - 1)
 
@@ -320,6 +326,77 @@ def trie_join(sets: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray,
     return np.minimum(a, b), np.maximum(a, b), o
 
 
+def crowd_links(sets: list[np.ndarray], t: float, copies: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links, u, v): for each sorted set the sum of copies of the other sets with Jaccard similarity of at least t, and edges between sets that connect the similar ones; with side, pairs of one side don't count.
+
+    Pairs are counted in blocks of a matrix and never listed: grams that many sets of a
+    block have by a product of matrices, the others by the lists of their sets.
+    """
+    links, none = np.zeros(len(sets), np.int64), np.zeros(0, np.int64)
+    size = np.array([len(s) for s in sets], np.int64)
+    if len(sets) < 2 or not size.sum():
+        return links, none, none
+    flat, of = np.unique(np.concatenate(sets), return_inverse=True)[1], np.repeat(np.arange(len(sets)), size)
+    on = shared_grams(flat, of, size, t)
+    kept, of = np.unique(of[on], return_inverse=True)
+    if len(kept) < 2:
+        return links, none, none
+    flat = np.unique(flat[on], return_inverse=True)[1].astype(np.int32)
+    size, length, copies = size[kept], np.bincount(of), copies[kept]
+    start, m = np.cumsum(length) - length, len(kept)
+    count = np.bincount(flat)
+    have, begin = of[np.argsort(flat, kind="stable")].astype(np.int32), np.cumsum(count) - count
+    need = required(np.arange(2 * size.max() + 1), np.zeros(1), t).astype(np.float32)
+    # by least hash, so that most similar sets are near each other
+    order = np.argsort(flat[start], kind="stable")
+    rows = order if side is None else order[side[kept][order] == side[kept][order[0]]]
+    others = order if side is None else order[side[kept][order] != side[kept][order[0]]]
+    label, got = np.arange(m), np.zeros(m, np.int64)
+    a = 0
+    while a < len(rows) and len(others):
+        cols = others[a:] if side is None else others
+        r = rows[a : a + max(1, CELLS // len(cols))]
+        a += len(r)
+        gram, at = flat[_spread(start[r], length[r])], np.repeat(np.arange(len(r)), length[r])
+        work = np.bincount(gram, minlength=len(count)) * count
+        many = np.flatnonzero(work * CHEAPER > len(r) * len(cols))
+        place = np.full(len(count), -1, np.int32)
+        place[many] = np.arange(len(many))
+        overlap = np.zeros((len(r), len(cols)), np.float32)
+        if len(many):
+            gram_c, at_c = flat[_spread(start[cols], length[cols])], np.repeat(np.arange(len(cols), dtype=np.int32), length[cols])
+            x, y, width = place[gram], place[gram_c], max(1, 4 * CELLS // len(cols))
+            for b in range(0, len(many), width):
+                w = min(width, len(many) - b)
+                one, two = np.zeros((len(r), w), np.float32), np.zeros((len(cols), w), np.float32)
+                i, j = (x >= b) & (x < b + w), (y >= b) & (y < b + w)
+                one[at[i], x[i] - b] = 1
+                two[at_c[j], y[j] - b] = 1
+                overlap += one @ two.T
+        column = np.full(m, -1, np.int64)
+        column[cols] = np.arange(len(cols))
+        few = np.flatnonzero(place[gram] < 0)
+        total, b = np.cumsum(count[gram[few]]), 0
+        while b < len(few):
+            to = max(int(np.searchsorted(total, (total[b - 1] if b else 0) + CELLS, "right")), b + 1)
+            g, i, b = gram[few[b:to]], at[few[b:to]], to
+            c = column[have[_spread(begin[g], count[g])]]
+            np.add.at(overlap.reshape(-1), (np.repeat(i, count[g]) * len(cols) + c)[c >= 0], np.float32(1))
+        similar = overlap >= need[size[r][:, None] + size[cols]]
+        if side is None:
+            similar[:, : len(r)] &= np.tri(len(r), k=-1, dtype=bool).T
+        for i, x in enumerate(r.tolist()):
+            hit = cols[np.flatnonzero(similar[i])]
+            got[x] += copies[hit].sum()
+            got[hit] += copies[x]
+            if (label[hit] != label[x]).any():
+                joint = np.unique(np.append(label[hit], label[x]))
+                label[np.isin(label, joint)] = joint[0]
+    links[kept] = got
+    on = label != np.arange(m)
+    return links, kept[on], kept[label[on]]
+
+
 # == on Spark
 
 
@@ -503,6 +580,10 @@ def _joined(n: int, t: float, pairs: bool):
 
     def of(held: list[tuple[int, int, int, np.ndarray]], one: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         node, block, copies = (np.array([h[c] for h in held]) for c in range(3))
+        if not pairs and len(held) > CROWD:
+            links, u, v = crowd_links([h[3] for h in held], t, copies, None if one else block)
+            on = links > 0
+            return np.concatenate([node[on], node[u]]), np.concatenate([node[on], node[v]]), np.concatenate([links[on], np.zeros(len(u), np.int64)]).astype(np.float64)
         a, b, o = trie_join([h[3] for h in held], t)
         if not one:
             on = block[a] != block[b]
@@ -571,19 +652,19 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, pairs:
     # about one prefix gram in 9 bytes of text, of some 20 bytes packed
     routes = max(docs.sparkSession.sparkContext.defaultParallelism, int(2.7 * amount) // ROUTE_BYTES, 1)
     hot, rank = _common_grams(base, n)
-    sent = base.mapInArrow(_send(n, t, hot, rank, routes), "route int, " + ", ".join(f"{c} binary" for c in _ROW))
+    sent = base.mapInArrow(K.released(_send(n, t, hot, rank, routes)), "route int, " + ", ".join(f"{c} binary" for c in _ROW))
     comp = connected(K.map_partition(sent.repartitionById(routes, F.col("route")), _meet(t), "u long, v long"))
     may = texts.withColumn("label", F.col("k1").bitwiseAND(F.lit(int(_LABEL)))).join(comp.withColumnRenamed("node", "label"), "label")
     nodes = K.cut(may.select("lead", "k1", "k2", "copies", "bytes", "comp", F.monotonically_increasing_id().alias("node")))
     # a node for each text; those of a large component in blocks, each pair of which is a group
-    large = K.cut(nodes.groupBy("comp").agg(F.sum("bytes").alias("all")).where(F.col("all") > BLOCK_BYTES).select("comp", F.ceil(F.col("all") / BLOCK_BYTES).alias("blocks")))
+    large = K.cut(nodes.groupBy("comp").agg(F.sum(F.greatest("bytes", F.lit(TEXT_BYTES))).alias("all")).where(F.col("all") > BLOCK_BYTES).select("comp", F.ceil(F.col("all") / BLOCK_BYTES).alias("blocks")))
     wanted = nodes.join(K.small(large, large.count()), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     wanted = wanted.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumnRenamed("lead", "doc_id")
     with_text = base.join(K.small(wanted, nodes.count()), "doc_id")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     groups = with_text.select("*", other).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies", "k1", "k2", "text")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(amount) // (4 * BLOCK_BYTES))
-    rows = groups.repartition(tasks, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").mapInArrow(_joined(n, t, pairs), "a long, b long, w double")
+    rows = groups.repartition(tasks, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").mapInArrow(K.released(_joined(n, t, pairs)), "a long, b long, w double")
     return Texts(d.select("doc_id", "k1", "k2"), texts, nodes, K.cut(rows))
 
 

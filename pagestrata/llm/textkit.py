@@ -6,6 +6,7 @@ text; in RE2 syntax ``[0-9a-z\\x{80}-\\x{10FFFF}]+`` over ``lower(text)``.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -147,6 +148,27 @@ def steps(batch: pa.RecordBatch, text: int = 1, limit: int = STEP_BYTES) -> Iter
         at = to
 
 
+def release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which memory is given back; else a Python worker, which lives on between tasks, holds the most that any of them took."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return f
+
+
 def map_steps(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: int = 1) -> DataFrame:
     """Applies f to slices of bounded text size of every Arrow batch."""
 
@@ -158,7 +180,7 @@ def map_steps(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
                     if out is not None and out.num_rows:
                         yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def map_partition(df: DataFrame, f: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -172,7 +194,7 @@ def map_partition(df: DataFrame, f: Callable[[pa.Table], pa.RecordBatch | None],
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def column(table: pa.Table | pa.RecordBatch, name: str, kind=np.int64) -> np.ndarray:

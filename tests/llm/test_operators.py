@@ -193,6 +193,52 @@ def near_rows():
     return rows + [(1000 + i, "hot passage of some words " + text(20, 3000, 500 + i)) for i in range(60)]
 
 
+def family(m, n, seed):
+    """m near copies of one text of n words, some of them of half of it."""
+    r = np.random.default_rng(seed)
+    base, texts = [f"w{x}" for x in r.integers(0, 3000, n)], []
+    for _ in range(m):
+        w = base[: n // 2] if r.random() < 0.2 else list(base)
+        for at in r.integers(0, len(w), r.integers(0, n // 8)):
+            w[at] = f"w{r.integers(0, 3000)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_links_of_a_crowd_are_those_of_the_trie(monkeypatch):
+    for trial in range(9):
+        r = np.random.default_rng(trial)
+        texts = [t for k in range(3) for t in family(30, int(r.integers(8, 120)), 10 * trial + k)]
+        sets = ngram_join.gram_sets(pa.array([texts[i] for i in r.permutation(len(texts))]))
+        copies, side = r.integers(1, 5, len(sets)), r.integers(3, 5, len(sets)) if trial % 2 else None
+        monkeypatch.setattr(ngram_join, "CELLS", [50, 3000, 1 << 21][trial % 3])
+        monkeypatch.setattr(ngram_join, "CHEAPER", [1, 250, 10**9][trial // 3])
+        a, b, _ = ngram_join.trie_join(sets, 0.55)
+        if side is not None:
+            a, b = a[side[a] != side[b]], b[side[a] != side[b]]
+        links, u, v = ngram_join.crowd_links(sets, 0.55, copies, side)
+        assert len(a) and links.tolist() == np.bincount(np.concatenate([a, b]), np.concatenate([copies[b], copies[a]]), len(sets)).tolist()
+        assert [x.tolist() for x in components.forest(u, v)] == [x.tolist() for x in components.forest(a, b)]
+
+
+def test_links_of_a_large_class_take_little_memory():
+    import tracemalloc
+
+    texts = sorted({" ".join(words(t)) for t in family(4000, 40, 1)})
+    m = len(texts)
+    with np.errstate(over="ignore"):
+        x, y, _ = ngram_join.text_keys(textkit.words(pa.array(texts)), m)
+    zero = pa.array(np.zeros(m, np.int64))
+    rows = pa.RecordBatch.from_arrays([zero, zero, zero, pa.array(np.arange(m)), zero, pa.array(np.ones(m, np.int64)), pa.array(x), pa.array(y), pa.array(texts)], names=["comp", "i", "j", "node", "block", "copies", "k1", "k2", "text"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(ngram_join._joined(3, 0.55, False)(iter([rows]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(w for a, b, w in zip(*(c.to_pylist() for c in got.columns)) if a == b) > m * m / 5
+    # no list of all pairs
+    assert peak < 90 << 20, peak
+
+
 def test_ngram_join_against_brute_force(spark):
     rows = near_rows()
     assert classes(spark, rows) == brute_classes(rows)
