@@ -8,13 +8,12 @@ lengths cannot reach the required overlap.
 
 To distribute it without losing a pair, the grams are divided into parts by hash.
 If two sets have similarity t, then in at least one part their shares of it have
-(were it less in each, the sums over the parts would give less in all); and so in one
-of four quarters of that part.  Shares of similarity t have a gram of their prefixes in
-common, so the share of each quarter is sent to the subtrees of its prefix grams, with a
-bitmap and that of the whole part; shares that meet there and may be similar by sizes,
-place of the gram and both bitmaps give an edge.  The number of parts goes by the size of the
-set, so that the share of a quarter has 2 to 8 grams on average; a set whose partners may be of the
-next smaller class is sent in the parts of that class too.  All of this can only rule
+(were it less in each, the sums over the parts would give less in all).  Shares of
+similarity t have a gram of their prefixes in common, so each share is sent to the
+subtrees of its prefix grams, with a bitmap; shares that meet there and may be similar by
+sizes, places of the gram and bitmaps give an edge.  The number of parts goes by the size
+of the set, so that a share has 8 to 32 grams on average; a set whose partners may be of
+the next smaller class is sent in the parts of that class too.  All of this can only rule
 out pairs that aren't similar.
 
 Connected sets travel together, each once, and the trie finds the similar pairs of a
@@ -95,20 +94,18 @@ def prefix_length(n: np.ndarray | int, t: float) -> np.ndarray:
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
-    """k for the sets of n grams that are divided into 4**k parts: 0 below 8 grams, 1 below 32, and so on."""
-    return np.floor(np.log2(np.maximum(n // 2, 1)) + 1e-9).astype(np.int64) // 2
+    """k for the sets of n grams that are divided into 4**k parts: 0 below 32 grams, 1 below 128, and so on."""
+    return np.floor(np.log2(np.maximum(n // 8, 1)) + 1e-9).astype(np.int64) // 2
 
 
 class Shares(NamedTuple):
-    """Prefix grams of quarters of parts: the gram's subtree, bitmap and size of the quarter's share and the gram's place in it, bitmap (in two words) and size of the whole part's share, the part, and the set."""
+    """Prefix grams of shares: the gram's subtree, bitmap (in two words) and size of the share and the gram's place in it, the part, and the set."""
 
     key: np.ndarray
     bits: np.ndarray
+    more_bits: np.ndarray
     size: np.ndarray
     place: np.ndarray
-    all_bits: np.ndarray
-    more_bits: np.ndarray
-    all_size: np.ndarray
     part: np.ndarray
     label: np.ndarray
 
@@ -117,7 +114,7 @@ class Shares(NamedTuple):
 
 
 def shares(sets: list[np.ndarray], label: np.ndarray, k: int, t: float, hot: np.ndarray, rank: np.ndarray) -> Shares:
-    """All prefix grams of the shares of the sets in the 4**k quarters of parts; hot: grams, sorted, that come last, by rank."""
+    """All prefix grams of the shares of the sets in the 4**k parts; hot: grams, sorted, that come last, by rank."""
     flat = np.concatenate(sets)
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     part = (flat & _U((1 << 2 * k) - 1)).astype(np.int64)
@@ -129,21 +126,16 @@ def shares(sets: list[np.ndarray], label: np.ndarray, k: int, t: float, hot: np.
     flat, of, part = flat[o], of[o], part[o]
     h = K.mix(flat)
     bit = np.left_shift(_U(1), h >> _U(58))
+    odd = (h >> _U(57) & _U(1)).astype(bool)
     first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (of[1:] != of[:-1])]))
     size = np.diff(np.concatenate([first, [len(flat)]]))
-    bits = np.bitwise_xor.reduceat(bit, first)
-    # four quarters of a part follow each other
-    part >>= 2 if k else 0
-    whole = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (of[1:] != of[:-1])]))
-    n = np.diff(np.concatenate([whole, [len(flat)]]))
-    odd = (h >> _U(57) & _U(1)).astype(bool)
-    more = np.bitwise_xor.reduceat(np.where(odd, bit, _U(0)), whole)
-    less = np.bitwise_xor.reduceat(np.where(odd, _U(0), bit), whole)
+    more = np.bitwise_xor.reduceat(np.where(odd, bit, _U(0)), first)
+    bits = np.bitwise_xor.reduceat(np.where(odd, _U(0), bit), first)
     place = np.arange(len(flat)) - np.repeat(first, size)
     on = place < np.repeat(prefix_length(size, t), size)
     key = K.mix(flat[on] + _U((k + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-    small, large = (np.repeat(np.arange(len(c)), c)[on] for c in (size, n))
-    return Shares(key, bits[small], size[small], place[on], less[large], more[large], n[large], part[on] | k << 48, label[of[on]])
+    share = np.repeat(np.arange(len(size)), size)[on]
+    return Shares(key, bits[share], more[share], size[share], place[on], part[on] | k << 48, label[of[on]])
 
 
 # == the trie
@@ -424,14 +416,16 @@ def _common_grams(base: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[o], (len(o) - np.arange(len(o)))[o]
 
 
-#: Columns of a block of shares; those of a part, its size and the set repeat from row to row while a part goes to few tasks.
-_ROW = {"key": "<u2", "high_key": np.uint8, "bits": "<u8", "size": np.uint8, "place": np.uint8, "all_bits": "<u8", "more_bits": "<u8", "all_size": np.uint8, "label": "<u4", "high_label": "<u2"}
+#: Columns of a block of shares, and those that are compressed together as "rest", as they have few bits set or small values.
+_ROW = {"key": "<u2", "high_key": np.uint8, "label": "<u4", "high_label": "<u2"}
+_REST = {"bits": "<u8", "more_bits": "<u8", "size": np.uint8, "place": np.uint8}
+_CODEC = "zstd"
 
 
 def route_of(s: Shares, routes: int) -> np.ndarray:
     """The task that each row goes to: all rows of a subtree to the same.  A part's subtrees are divided among so many tasks as parts of its class are too few for all."""
     k = s.part >> 48
-    tasks = np.maximum(1, routes >> 2 * np.maximum(k - 1, 0) + 2).astype(_U)
+    tasks = np.maximum(1, routes >> 2 * k + 2).astype(_U)
     h = K.mix(K.mix(s.part.astype(_U)) + s.key % tasks)
     return ((h >> _U(32)) * _U(routes) >> _U(32)).astype(np.int64)
 
@@ -444,19 +438,20 @@ def _send(n: int, t: float, hot: np.ndarray, rank: np.ndarray, routes: int):
 
     def packed(s: Shares) -> list[np.ndarray]:
         name = s.key >> _U(40)
-        values = (name & _U(0xFFFF), name >> _U(16), s.bits, np.minimum(s.size, 255), np.minimum(s.place, 255), s.all_bits, s.more_bits, np.minimum(s.all_size, 255), s.label & _U(0xFFFFFFFF), s.label >> _U(32))
-        return [route_of(s, routes).astype(np.uint16 if routes <= 65536 else np.int32), *(v.astype(kind) for v, kind in zip(values, _ROW.values()))]
+        values = (name & _U(0xFFFF), name >> _U(16), s.label & _U(0xFFFFFFFF), s.label >> _U(32), s.bits, s.more_bits, np.minimum(s.size, 255), np.minimum(s.place, 255))
+        return [route_of(s, routes).astype(np.uint16 if routes <= 65536 else np.int32), *(v.astype(kind) for v, kind in zip(values, (_ROW | _REST).values()))]
 
     def block(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
         route = np.concatenate([r[0] for r in rows])
         o = np.argsort(route, kind="stable").astype(np.int32)
         route = route[o]
         edge = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1], [True]]))
-        data = []
-        for c in range(1, len(_ROW) + 1):
-            column = np.concatenate([r[c] for r in rows])[o]
-            data.append(pa.array([column[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])], pa.binary()))
-        return pa.RecordBatch.from_arrays([pa.array(route[edge[:-1]].astype(np.int32)), *data], names=["route", *_ROW])
+        runs = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+        columns = [np.concatenate([r[c] for r in rows])[o] for c in range(1, len(_ROW | _REST) + 1)]
+        plain, low = columns[: len(_ROW)], columns[len(_ROW) :]
+        data = [pa.array([c[x:y].tobytes() for x, y in runs], pa.binary()) for c in plain]
+        data.append(pa.array([pa.compress(b"".join([c[x:y].tobytes() for c in low]), _CODEC, asbytes=True) for x, y in runs], pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(route[edge[:-1]].astype(np.int32)), *data], names=["route", *_ROW, "rest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -491,16 +486,12 @@ def _send(n: int, t: float, hot: np.ndarray, rank: np.ndarray, routes: int):
 
 def _may_match(s: Shares, x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
     """Whether the shares x and y may be similar and have no common gram before this one; 255 stands for any greater size too."""
-    ok = np.ones(1, bool)
-    for size, *bits in ((s.size, s.bits), (s.all_size, s.all_bits, s.more_bits)):
-        a, b = size[x].astype(np.int64), size[y].astype(np.int64)
-        need = required(a, b, t)
-        apart = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in bits)
-        similar = (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (apart <= a + b - 2 * need)
-        if size is s.size:
-            similar &= np.minimum(a - s.place[x].astype(np.int64), b - s.place[y].astype(np.int64)) >= need
-        ok = ok & (similar | (a >= 255) | (b >= 255))
-    return ok
+    a, b = s.size[x].astype(np.int64), s.size[y].astype(np.int64)
+    need = required(a, b, t)
+    apart = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in (s.bits, s.more_bits))
+    ok = (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9) & (apart <= a + b - 2 * need)
+    ok &= np.minimum(a - s.place[x].astype(np.int64), b - s.place[y].astype(np.int64)) >= need
+    return ok | (a >= 255) | (b >= 255)
 
 
 def met(key: np.ndarray) -> np.ndarray:
@@ -518,7 +509,7 @@ def meeting(s: Shares, t: float) -> tuple[np.ndarray, np.ndarray]:
     s = s.take(met(s.key))
     if not len(s.key):
         return s.label, s.label
-    kinds = (s.key, s.size, s.bits, s.all_bits, s.more_bits, s.all_size)
+    kinds = (s.key, s.size, s.bits, s.more_bits)
     o = np.lexsort(kinds[::-1])
     s, kinds = s.take(o), [c[o] for c in kinds]
     # shares that are alike are chained to the first of them, the variant
@@ -560,11 +551,19 @@ def _meet(t: float):
             return np.frombuffer(b"".join(table.column(name).to_pylist()), _ROW[name])
 
         key = column("key").astype(np.uint32) | column("high_key").astype(np.uint32) << 16
-        # most subtrees have one row: the other columns are taken one by one, without those
+        # most subtrees have one row: the other columns are taken without those
         at = met(key)
-        bits, size, place, all_bits, more_bits, all_size = (column(name)[at] for name in ("bits", "size", "place", "all_bits", "more_bits", "all_size"))
         label = column("label")[at].astype(np.int64) | column("high_label")[at].astype(np.int64) << 32
-        s = Shares(key[at], bits, size, place, all_bits, more_bits, all_size, size, label)
+        width = sum(np.dtype(kind).itemsize for kind in _REST.values())
+        rest = {name: np.empty(len(key), kind) for name, kind in _REST.items()}
+        end = 0
+        for part, some in zip(table.column("high_key").to_pylist(), table.column("rest").to_pylist()):
+            begin, end, raw, place = end, end + len(part), pa.decompress(some, width * len(part), _CODEC), 0
+            for name, kind in _REST.items():
+                rest[name][begin:end] = np.frombuffer(raw, kind, len(part), place)
+                place += len(part) * np.dtype(kind).itemsize
+        rest = {name: c[at] for name, c in rest.items()}
+        s = Shares(key=key[at], part=rest["size"], label=label, **rest)
         u, v = meeting(s, t)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
@@ -652,7 +651,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, pairs:
     # about one prefix gram in 9 bytes of text, of some 20 bytes packed
     routes = max(docs.sparkSession.sparkContext.defaultParallelism, int(2.7 * amount) // ROUTE_BYTES, 1)
     hot, rank = _common_grams(base, n)
-    sent = base.mapInArrow(K.released(_send(n, t, hot, rank, routes)), "route int, " + ", ".join(f"{c} binary" for c in _ROW))
+    sent = base.mapInArrow(K.released(_send(n, t, hot, rank, routes)), "route int, " + ", ".join(f"{c} binary" for c in [*_ROW, "rest"]))
     comp = connected(K.map_partition(sent.repartitionById(routes, F.col("route")), _meet(t), "u long, v long"))
     may = texts.withColumn("label", F.col("k1").bitwiseAND(F.lit(int(_LABEL)))).join(comp.withColumnRenamed("node", "label"), "label")
     nodes = K.cut(may.select("lead", "k1", "k2", "copies", "bytes", "comp", F.monotonically_increasing_id().alias("node")))
