@@ -5,9 +5,12 @@ Lengths count code points.  Input is taken to be in NFC, as the parsing step lea
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import plain
+
 #: White space as ECMAScript sees it, for Java's regular expressions.
 WS = r"\t\n\x0B\f\r    -     　﻿"
 SENTENCE_END = f"(?<=[!?.…。．！？])[{WS}]+"
@@ -66,27 +69,20 @@ def valid_id(c: _C) -> Column:
     return F.coalesce(c.rlike(r"^[\p{N}\p{L}][\p{N}\p{L}_-]{0,63}\z") & ~c.rlike(r"^part-[0-9]+\z"), F.lit(False))
 
 
-def dedupe_slugs(slugs: _C, reserved: tuple[str, ...] = ("facts", "intro", "toc")) -> Column:
-    """The slugs of an array in order, each given once: a taken or reserved one gets the next free number.
+def dedupe_slugs(slugs: _C, reserved: tuple[str, ...] = plain.RESERVED) -> Column:
+    """The slugs of an array in order, each given once: a taken or reserved one gets the next free number; nulls stay.
 
-    A fold over the array, as a number depends on all that was given before.
+    A number depends on all that was given before, so it is one pass in Python over each array, in linear time.
     """
-    start = F.create_map(*[x for r in reserved for x in (F.lit(r), F.lit(1))]) if reserved else F.lit(None).cast("map<string,int>")
-    state = F.struct(start.cast("map<string,int>").alias("last"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        last, out = acc["last"], acc["out"]
-        n = last[s]
-        # the next number that isn't taken: one of the first size+1 after n
-        free = F.filter(F.transform(F.sequence(n + 1, n + 1 + F.size(last)), lambda k: F.struct(k.alias("k"), F.concat(s, F.lit("-"), k.cast("string")).alias("s"))), lambda x: ~F.map_contains_key(last, x["s"]))[0]
-        fresh = F.struct(F.map_concat(last, F.create_map(s, F.lit(1))).alias("last"), F.array_append(out, s).alias("out"))
-        taken = F.struct(
-            F.map_concat(F.map_filter(last, lambda k, v: k != s), F.create_map(s, free["k"], free["s"], F.lit(1))).alias("last"),
-            F.array_append(out, free["s"]).alias("out"),
-        )
-        return F.when(n.isNull(), fresh).otherwise(taken)
-
-    return F.aggregate(_col(slugs), state, step, lambda acc: acc["out"])
+
+    def run(arrays: pa.Array) -> pa.Array:
+        out = []
+        for x in arrays:
+            given, s = x.as_py(), plain.Slugs(reserved)
+            out.append(None if given is None else [v if v is None else s.claim(v) for v in given])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(_col(slugs))
 
 
 def content_hash(c: _C) -> Column:

@@ -156,6 +156,25 @@ def test_slug_fold(spark):
         assert [s.claim(x) for x in row.a] == row.o
 
 
+def test_slug_fold_of_many_is_linear(spark):
+    import time
+
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.concat(F.lit("b"), (i % 7).cast("string"))).alias("a"))
+    began = time.time()
+    got = many.select(T.dedupe_slugs("a").alias("o")).first().o
+    assert len(set(got)) == 20_000 and got[7] == "b1-2" and time.time() - began < 30
+
+
+def test_slugs_of_a_large_brand(spark, tmp_path):
+    import time
+
+    spark.range(20_000).selectExpr("id as p_partkey", "'x' as p_brand", "cast(id % 3 as int) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    began = time.time()
+    got = {r.p_partkey: r.id for r in queries.slug_dedupe(spark, str(tmp_path)).collect()}
+    s = P.Slugs()
+    assert [got[i] for i in range(20_000)] == [s.claim(f"b{i % 3}") for i in range(20_000)] and time.time() - began < 30
+
+
 def test_hash_and_units():
     assert P.units("") == 0 and P.units("abcde") == 2 and P.units("é") == 1
     assert P.normalize("é  x\u0085") == "é x\u0085"
