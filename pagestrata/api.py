@@ -55,7 +55,7 @@ def two_hop(spark: SparkSession, html: str, question: str) -> dict[str, Any]:
 
 
 def saved_percent(raw: Column, sent: Column) -> Column:
-    return F.when(raw > 0, T.round_half_up((1 - sent / raw) * 100, 1)).otherwise(F.lit(0.0))
+    return F.when(raw > 0, T.saved_percent(sent, raw)).otherwise(F.lit(0.0))
 
 
 def link_tag(path: str) -> str:

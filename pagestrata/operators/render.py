@@ -182,4 +182,4 @@ def token_report(docs: DataFrame, counter=None) -> DataFrame:
         count(F.col("header")).alias("header_only"),
         count(facts_section()).alias("facts"),
         F.transform("chunks", lambda c: F.struct(c["id"].alias("id"), T.units(c["text"]).alias("tokens"))).alias("chunk_tokens"),
-    ).withColumn("saved_percent", F.when(F.col("raw_html") > 0, T.round_half_up((1 - F.col("sibling") / F.col("raw_html")) * 100, 1)))
+    ).withColumn("saved_percent", F.when(F.col("raw_html") > 0, T.saved_percent("sibling", "raw_html")))

@@ -1,10 +1,12 @@
 """The page engine: parsing, documents, renderings, validation, retrieval, crawl rules, benchmark, files and streams."""
 
 import json
+import math
 import random
 import zipfile
 from io import BytesIO
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +182,19 @@ def test_hash_and_units():
     assert P.normalize("é  x\u0085") == "é x\u0085"
 
 
+def test_saved_percent_at_halves(spark, tmp_path):
+    pairs = [(29, 80), (53, 400), (1, 3), (0, 7)]
+    rows = spark.createDataFrame(pairs, "sent long, raw long").select(T.saved_percent("sent", "raw").alias("p")).collect()
+    assert [r.p for r in rows] == [math.floor((1 - a / b) * 1000 + 0.5) / 10 for a, b in pairs]
+    # a page of 80 units of which 29 are text: 63.75 percent, and an empty one
+    page = "<html><body><article>" + "w" * 116 + "</article></body></html>"
+    spark.createDataFrame([(1, "u", page.ljust(320)), (2, "v", "")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = queries.token_saving(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert list(map(str, map(tuple, got))) == list(map(str, con.sql(queries.ORACLES["token_saving"] + " ORDER BY page_id").fetchall())) and got[0].saved_percent == 63.8
+
+
 # -- validation
 
 
