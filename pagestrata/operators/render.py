@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,30 +117,69 @@ def plain_view() -> Column:
     return F.array_join(F.transform("chunks", lambda c: F.concat(_lit("── "), c["id"], _lit(" ───\n"), c["text"])), "\n\n")
 
 
+_ESCAPES = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
+def _quoted(c: Column) -> Column:
+    """A string as JSON, null as null: the two marks and the control characters are escaped, nothing else."""
+    s = F.replace(F.replace(c, _lit("\\"), _lit("\\\\")), _lit('"'), _lit('\\"'))
+    lines, rest = s, s
+    for code in range(32):
+        x = chr(code)
+        rest = F.replace(rest, _lit(x), _lit(_ESCAPES.get(x, f"\\u{code:04x}")))
+    for x in "\t\n\r":
+        lines = F.replace(lines, _lit(x), _lit(_ESCAPES[x]))
+    s = F.when(c.rlike("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"), rest).when(c.rlike("[\t\n\r]"), lines).otherwise(s)
+    return F.coalesce(F.concat(_lit('"'), s, _lit('"')), _lit("null"))
+
+
+def _json_list(items: Column, depth: int) -> Column:
+    """An array of JSON texts as a list whose brackets stand ``depth`` indents in."""
+    inner, outer = "\n" + "  " * (depth + 1), "\n" + "  " * depth
+    return F.when(F.size(items) == 0, _lit("[]")).otherwise(F.concat(_lit("[" + inner), F.array_join(items, "," + inner), _lit(outer + "]")))
+
+
+def _json_object(fields: dict[str, Column], depth: int) -> Column:
+    inner, outer = "\n" + "  " * (depth + 1), "\n" + "  " * depth
+    parts = [x for i, (k, v) in enumerate(fields.items()) for x in (_lit(("," if i else "{") + inner + f'"{k}": '), v)]
+    return F.concat(*parts, _lit(outer + "}"))
+
+
 def json_text(format_name: str = FORMAT) -> Column:
-    """The canonical JSON rendering: fixed key order, two-space indents; over with_header()."""
-
-    def dump(d: pa.Array) -> pa.Array:
-        out = []
-        for x in d.to_pylist():
-            if x is None:
-                out.append(None)
-                continue
-            chunks = x["chunks"] or []
-            body = {
-                format_name: VERSION,
-                **{k: x[k] for k in ("title", "summary", "type", "url", "lang", "updated")},
-                "series": {"prev": x["series_prev"], "next": x["series_next"]},
-                "hash": x["hash"],
-                "toc": [{"id": c["id"], "summary": c["summary"]} for c in chunks],
-                "facts": {"kv": x["facts"], "tables": x["tables"]},
-                "chunks": chunks,
-            }
-            out.append(json.dumps(body, ensure_ascii=False, indent=2) + "\n")
-        return pa.array(out, pa.string())
-
-    cols = "title summary type url lang updated series_prev series_next hash facts tables chunks".split()
-    return F.arrow_udf(dump, "string")(F.when(F.col("ok"), F.struct(*cols)))
+    """The canonical JSON rendering: fixed key order, two-space indents, as json.dumps writes it; over with_header()."""
+
+    def strings(items: Column, depth: int) -> Column:
+        return _json_list(F.transform(items, _quoted), depth)
+
+    def listed(items: Column, depth: int, f) -> Column:
+        return _json_list(F.transform(items, f), depth)
+
+    names = "title summary type url lang updated series_prev series_next hash".split()
+
+    def body(q: Column) -> Column:
+        said = dict(zip(names, (q[i] for i in range(len(names)))))
+        return _json_object(
+            {
+                format_name: _lit(json.dumps(VERSION)),
+                **{k: said[k] for k in names[:6]},
+                "series": _json_object({"prev": said["series_prev"], "next": said["series_next"]}, 1),
+                "hash": said["hash"],
+                "toc": listed(F.col("chunks"), 1, lambda c: _json_object({k: _quoted(c[k]) for k in ("id", "summary")}, 2)),
+                "facts": _json_object(
+                    {
+                        "kv": listed(F.col("facts"), 2, lambda f: _json_object({k: _quoted(f[k]) for k in ("key", "value")}, 3)),
+                        "tables": listed(F.col("tables"), 2, lambda t: _json_object({"id": _quoted(t["id"]), "cols": strings(t["cols"], 4), "rows": listed(t["rows"], 4, lambda r: strings(r, 5))}, 3)),
+                    },
+                    1,
+                ),
+                "chunks": listed(F.col("chunks"), 1, lambda c: _json_object({"id": _quoted(c["id"]), "summary": _quoted(c["summary"]), "tags": strings(c["tags"], 3), "anchor": _quoted(c["anchor"]), "text": _quoted(c["text"])}, 2)),
+            },
+            0,
+        )
+
+    # the page's own strings are quoted once, in a lambda's variable
+    quoted = F.transform(F.array(*names), _quoted)
+    return F.when(F.col("ok"), F.concat(F.transform(F.array(quoted), body)[0], _lit("\n")))
 
 
 def warnings() -> Column:

@@ -124,6 +124,22 @@ def test_json_mirrors(one):
     assert [c["id"] for c in j["chunks"]] == [t["id"] for t in j["toc"]] and j["series"] == {"prev": None, "next": "/p2"} and one[1].json.endswith("}\n")
 
 
+def test_json_is_as_json_dumps_writes_it(spark):
+    odd = "".join(map(chr, range(33))) + '"\\ \\u000B \\n / \x7f \u2028 é 😀'
+    kinds = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], document.SCHEMA).schema}
+    rows = [
+        {"title": odd, "summary": "", "type": "a", "url": None, "lang": "x", "updated": None, "series_prev": None, "series_next": odd, "hash": "h", "facts": [{"key": odd, "value": "v"}, {"key": "k", "value": ""}], "tables": [{"id": "t", "cols": ["a", odd], "rows": [["1", odd], []]}, {"id": "", "cols": [], "rows": []}], "chunks": [{"id": "c", "summary": odd, "tags": [], "anchor": None, "text": "a\n\tb"}, {"id": "d", "summary": "s", "tags": ["x", odd], "anchor": "#d", "text": odd}]},
+        {"title": "", "summary": "s", "type": "a", "url": "u", "lang": None, "updated": "d", "series_prev": "p", "series_next": None, "hash": "h", "facts": [], "tables": [], "chunks": []},
+    ]
+    schema = "ok boolean, " + ", ".join(f"{k} {kinds.get(k, 'string')}" for k in rows[0])
+    made = spark.createDataFrame([{"ok": True} | r for r in rows], schema).select("title", render.json_text().alias("json"))
+    assert "Python" not in made._jdf.queryExecution().toString()
+    got = {r.title: r.json for r in made.collect()}
+    for x in rows:
+        body = {render.FORMAT: render.VERSION, **{k: x[k] for k in "title summary type url lang updated".split()}, "series": {"prev": x["series_prev"], "next": x["series_next"]}, "hash": x["hash"], "toc": [{"id": c["id"], "summary": c["summary"]} for c in x["chunks"]], "facts": {"kv": x["facts"], "tables": x["tables"]}, "chunks": x["chunks"]}
+        assert got[x["title"]] == json.dumps(body, ensure_ascii=False, indent=2) + "\n"
+
+
 def test_oversize_chunks_split_and_packing():
     long = "word " * 1500
     blocks = [extract.Block("heading", "A", 2, "a"), extract.Block("heading", "A1", 3, "a1"), extract.Block("para", long), extract.Block("heading", "A2", 3), extract.Block("para", "x")]
