@@ -46,7 +46,7 @@ def sentences(c: _C) -> Column:
 
 
 def first_sentence(c: _C) -> Column:
-    return F.split(collapse(c), SENTENCE_END)[0]
+    return F.split(collapse(c), SENTENCE_END, 2)[0]
 
 
 def iso_date(c: _C) -> Column:

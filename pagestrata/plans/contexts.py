@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import rank
+from ..operators.htmltree import WS_CHARS
 
 CONDITIONS = tuple("raw-html markdown llmstxt two-hop".split())
 LONGEST = 400_000
@@ -95,7 +96,7 @@ def flat_markdown(html: str) -> str:
 
 def markdown_baseline(html: Column) -> Column:
     """The page as plain Markdown, boilerplate and all."""
-    return F.arrow_udf(lambda h: pa.array([None if x is None else flat_markdown(x) for x in h.to_pylist()], pa.string()), "string")(html)
+    return F.arrow_udf(lambda h: pa.array((None if (t := x.as_py()) is None else flat_markdown(t) for x in h), pa.string()), "string")(html)
 
 
 def sections(md: Column | str) -> Column:
@@ -103,10 +104,10 @@ def sections(md: Column | str) -> Column:
     return F.split(md, "\n(?=## )")
 
 
-def parsed(rendered: DataFrame, md_col: str = "md") -> DataFrame:
-    """(page_id, title, header, facts, chunk_sections) as array of (id, text), from Markdown alone."""
-    s = F.transform(sections(F.col(md_col)), lambda x: F.regexp_replace(x, f"[{T.WS}]+$", ""))
-    d = rendered.select("page_id", F.regexp_extract(md_col, r"(?m)^# (.+)$", 1).alias("title"), s.alias("s"))
+def parsed(rendered: DataFrame, md_col: str = "md", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, title, header, facts, chunk_sections) as array of (id, text), from Markdown alone, and the columns to keep."""
+    s = F.transform(sections(F.col(md_col)), lambda x: F.rtrim(x, F.lit(WS_CHARS)))
+    d = rendered.select("page_id", F.regexp_extract(md_col, r"(?m)^# (.+)$", 1).alias("title"), s.alias("s"), *keep)
     rest = F.slice("s", 2, 1_000_000)
     return d.select(
         "page_id",
@@ -114,6 +115,7 @@ def parsed(rendered: DataFrame, md_col: str = "md") -> DataFrame:
         F.array_join(F.concat(F.slice("s", 1, 1), F.filter(rest, lambda x: x.startswith("## toc"))), "\n").alias("header"),
         F.coalesce(F.element_at(F.filter(rest, lambda x: x.startswith("## facts")), -1), F.lit("")).alias("facts"),
         F.transform(F.filter(rest, lambda x: x.startswith("## chunk ")), lambda x: F.struct(F.trim(F.regexp_extract(x, r"^## chunk ([^\n]*)", 1)).alias("id"), x.alias("text"))).alias("chunk_sections"),
+        *keep,
     )
 
 
@@ -124,23 +126,28 @@ def link_digest() -> Column:
     return F.array_join(F.concat(F.array(F.concat(F.lit("# "), "title"), F.lit(""), F.concat(F.lit("> "), summary), F.lit(""), F.lit("## Sections")), ids), "\n")
 
 
-def contexts(pages: DataFrame, rendered: DataFrame, questions: DataFrame) -> DataFrame:
-    """(page_id, question_id, condition, context, truncated) of every question under every condition.
+def page_contexts(rows: DataFrame) -> DataFrame:
+    """(page_id, fields of asked, condition, context, truncated) of every question of rows (page_id, html, md, asked) under every condition.
 
-    Only the two-hop context depends on the question; the other three are made once
-    for each page and joined.
+    asked is an array of (question_id, question, ...).  All is made within the row: no join, no shuffle.
+    Only the two-hop context depends on the question.
     """
-    p = parsed(rendered)
-    per_page = pages.select("page_id", "html").join(p, "page_id").select("page_id", F.explode(F.array(*[F.struct(F.lit(n).alias("condition"), c.alias("context")) for n, c in zip(CONDITIONS, (F.col("html"), markdown_baseline(F.col("html")), link_digest()))])).alias("x")).select("page_id", "x.*")
-    c = p.select("page_id", F.posexplode("chunk_sections").alias("ord", "c")).select("page_id", "ord", F.col("c.id").alias("chunk_id"), F.col("c.text").alias("text"))
-    chosen = rank.selected(rank.ranked(rank.bm25(c, questions, T.terms_with_marks("text"), T.terms_with_marks)))
-    picked = chosen.join(c, ["page_id", "chunk_id"]).groupBy("page_id", "question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("picked"))
-    two = questions.select("page_id", "question_id").join(p, "page_id").join(picked, ["page_id", "question_id"], "left")
-    texts = F.concat(F.array("header", "facts"), F.coalesce(F.transform("picked", lambda x: x["text"]), F.array().cast("array<string>")))
-    two = two.select("page_id", "question_id", F.lit(CONDITIONS[3]).alias("condition"), F.array_join(F.filter(texts, lambda x: x != ""), "\n\n").alias("context"))
-    out = questions.select("page_id", "question_id").join(per_page, "page_id").select("page_id", "question_id", "condition", "context").unionByName(two)
-    text, over = truncated(F.col("context"))
-    return out.select("page_id", "question_id", "condition", text.alias("context"), over.alias("truncated"))
+    p = parsed(rows, keep=("html", "asked")).withColumns({"plain": markdown_baseline(F.col("html")), "digest": link_digest()})
+    chunks = F.transform("chunk_sections", lambda c: F.named_struct(F.lit("id"), c["id"], F.lit("tokens"), T.terms_with_marks(c["text"]), F.lit("text"), c["text"]))
+    per_page = p.select("page_id", "html", "plain", "digest", "header", "facts", chunks.alias("cs"), F.explode("asked").alias("q"))
+    best = rank.best_chunks(F.col("cs"), rank.question_terms(F.col("q.question"), T.terms_with_marks), ("text",))
+    texts = F.concat(F.array("header", "facts"), F.transform(best, lambda x: x["text"]))
+    two = F.array_join(F.filter(texts, lambda x: x != ""), "\n\n")
+    under = F.array(*[F.struct(F.lit(n).alias("condition"), c.alias("context")) for n, c in zip(CONDITIONS, (F.col("html"), F.col("plain"), F.col("digest"), two))])
+    text, over = truncated(F.col("x.context"))
+    return per_page.select("page_id", "q", F.explode(under).alias("x")).select("page_id", "q.*", "x.condition", text.alias("context"), over.alias("truncated"))
+
+
+def contexts(pages: DataFrame, rendered: DataFrame, questions: DataFrame) -> DataFrame:
+    """(page_id, question_id, condition, context, truncated) of every question under every condition."""
+    asked = questions.groupBy("page_id").agg(F.collect_list(F.struct("question_id", "question")).alias("asked"))
+    rows = pages.select("page_id", "html").join(rendered.select("page_id", "md"), "page_id").join(asked, "page_id")
+    return page_contexts(rows).select("page_id", "question_id", "condition", "context", "truncated")
 
 
 # == answers
@@ -175,26 +182,35 @@ def offline_answer(run: int, question: str, context: str) -> tuple[str, int, int
     return line.strip() or UNKNOWN, len(prompt(run, question, context)) // 4, len(line) // 4
 
 
-def graded(answer: Column, gold: Column) -> Column:
-    """Whether the answer holds the gold answer, letters and digits alone being compared."""
+def _plain(c: Column) -> Column:
+    """Letters and digits alone, as answers are compared."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^0-9a-z]+", " "))
 
-    def plain(c: Column) -> Column:
-        return F.trim(F.regexp_replace(F.lower(c), "[^0-9a-z]+", " "))
 
-    return (gold != "") & F.contains(plain(answer), plain(gold))
+def graded(answer: Column, gold: Column) -> Column:
+    """Whether the answer holds the gold answer, letters and digits alone being compared."""
+    return (gold != "") & F.contains(_plain(answer), _plain(gold))
 
 
 def trials(asked: DataFrame, runs: int = RUNS, answerer: Callable[[int, str, str], tuple[str, int, int]] = offline_answer) -> DataFrame:
     """Trials of rows (page_id, article, question_id, question, gold, condition, context, truncated), each run anew."""
-    rows = asked.crossJoin(asked.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run")))
 
-    def answer(run: pa.Array, question: pa.Array, context: pa.Array) -> pa.Array:
-        got = [answerer(r, q or "", c or "") for r, q, c in zip(run.to_pylist(), question.to_pylist(), context.to_pylist())]
-        return pa.array([{"answer": a, "input_tokens": i, "output_tokens": o} for a, i, o in got], pa.struct([("answer", pa.string()), ("input_tokens", pa.int64()), ("output_tokens", pa.int64())]))
+    def answer(question: pa.Array, context: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("run", pa.int32()), ("answer", pa.string()), ("input_tokens", pa.int64()), ("output_tokens", pa.int64())]))
+        return pa.array((all_runs(q.as_py() or "", c.as_py() or "") for q, c in zip(question, context)), kind)
+
+    def all_runs(question: str, context: str) -> list[dict]:
+        got = ((r, answerer(r, question, context)) for r in range(1, runs + 1))
+        return [{"run": r, "answer": a, "input_tokens": i, "output_tokens": o} for r, (a, i, o) in got]
 
-    ask = F.arrow_udf(answer, "struct<answer string, input_tokens long, output_tokens long>").asNondeterministic()
-    out = rows.withColumn("a", ask("run", "question", "context")).select(*"condition article question run gold truncated".split(), "a.*")
-    return out.withColumn("correct", graded(F.col("answer"), F.col("gold")))
+    # a text is sent once for all its runs
+    ask = F.arrow_udf(answer, "array<struct<run int, answer string, input_tokens long, output_tokens long>>").asNondeterministic()
+    # and graded once for each of its different answers
+    known = F.transform(F.array_distinct(F.transform("a", lambda x: x["answer"])), lambda x: F.struct(x.alias("answer"), graded(x, F.col("gold")).alias("correct")))
+    out = asked.withColumn("a", ask("question", "context")).withColumn("known", known)
+    out = out.select(*"condition article question gold truncated known".split(), F.explode("a").alias("a"))
+    correct = F.get(F.filter("known", lambda x: x["answer"].eqNullSafe(F.col("a.answer"))), F.lit(0))["correct"]
+    return out.select("condition", "article", "question", "a.run", "gold", "truncated", "a.answer", "a.input_tokens", "a.output_tokens", correct.alias("correct"))
 
 
 def cached_trials(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,13 +230,14 @@ def mean_ci(c: Column | str) -> tuple[Column, Column]:
     return F.coalesce(F.avg(c), F.lit(0.0)), F.coalesce(F.lit(1.96) * F.stddev_samp(c) / F.sqrt(F.count(c)), F.lit(0.0))
 
 
-def trial_summary(t: DataFrame) -> DataFrame:
-    """One row for each condition, and one for each condition and article (article null in the former), by grouping sets."""
+def trial_summary(t: DataFrame, by_article: bool = True) -> DataFrame:
+    """One row for each condition, and one for each condition and article if asked for (article null in the former), by grouping sets."""
     acc, acc_ci = mean_ci(F.col("correct").cast("double"))
     tok, tok_ci = mean_ci(F.col("input_tokens").cast("double"))
     n_right = F.count_if("correct")
     cost = F.sum("input_tokens") / 1e6 * PRICE_IN + F.sum("output_tokens") / 1e6 * PRICE_OUT
-    return t.groupingSets([["condition"], ["condition", "article"]], "condition", "article").agg(
+    sets = t.groupingSets([["condition"], ["condition", "article"]], "condition", "article") if by_article else t.groupBy("condition")
+    out = sets.agg(
         F.count("*").alias("trials"),
         acc.alias("accuracy_mean"),
         acc_ci.alias("accuracy_ci95"),
@@ -229,8 +246,9 @@ def trial_summary(t: DataFrame) -> DataFrame:
         (F.sum("input_tokens") / F.nullif(n_right, F.lit(0))).alias("tokens_per_correct"),
         (cost / F.nullif(n_right, F.lit(0))).alias("dollars_per_correct"),
         F.count_if("truncated").alias("truncated_trials"),
-        F.grouping("article").alias("all_articles"),
+        *([F.grouping("article").alias("all_articles")] if by_article else []),
     )
+    return out if by_article else out.select("condition", F.lit(None).cast("string").alias("article"), *out.columns[1:], F.lit(1).alias("all_articles"))
 
 
 def run_counts(t: DataFrame) -> DataFrame:

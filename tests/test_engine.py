@@ -353,6 +353,15 @@ def test_offline_benchmark(spark, docs):
     assert hit.count() == 0 and miss.count() == 2
 
 
+def test_answers_are_graded_run_by_run(spark):
+    answers = {1: "The Mill.", 2: None, 3: "no"}
+    rows = spark.createDataFrame([("c", "a", "q", "the mill", "x", False), ("c", "b", "q", None, None, False)], "condition string, article string, question string, gold string, context string, truncated boolean")
+    got = contexts.trials(rows, answerer=lambda r, q, c: (answers[r], 1, r))
+    assert {(x.article, x.run): (x.answer, x.output_tokens, x.correct) for x in got.collect()} == {(a, r): (v, r, {1: True, 2: None, 3: False}[r] if a == "a" else None) for a in "ab" for r, v in answers.items()}
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "Cartesian" not in plan and "NestedLoop" not in plan  # a context is sent once for its runs
+
+
 # -- crawl, counters, files
 
 
